@@ -32,10 +32,11 @@ def rmse(y: str | Column, p: str | Column) -> Column:
 def r2(y: str | Column, p: str | Column) -> Column:
     """M7: 1 - SSres/SStot; a constant target gives 1 when the fit is
     perfect, else 0. The division sits in the result projection, so the
-    guard holds under ANSI mode."""
+    guard holds under ANSI mode. SStot is sum(y^2) - sum(y)^2 / n, which is
+    exact for integer demand (so engines agree bit for bit)."""
     yy, pp = _c(y).cast("double"), _c(p).cast("double")
     ss_res = F.sum((yy - pp) * (yy - pp))
-    ss_tot = F.var_pop(yy) * F.count(yy)
+    ss_tot = F.sum(yy * yy) - F.sum(yy) * F.sum(yy) / F.count(yy)
     return (
         F.when(ss_tot == 0, F.when(ss_res == 0, F.lit(1.0)).otherwise(F.lit(0.0)))
         .otherwise(F.lit(1.0) - F.try_divide(ss_res, ss_tot))

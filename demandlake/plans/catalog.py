@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from demandlake.plans import q_eda, q_features  # noqa: F401
+from demandlake.plans import q_decide, q_eda, q_features, q_monitor, q_quality  # noqa: F401
 from demandlake.plans.registry import REGISTRY
 
 FLAGSHIP = "features_full"

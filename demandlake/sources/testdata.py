@@ -158,3 +158,147 @@ reqlog AS (
 def with_sql(*ctes: str) -> str:
     """``WITH`` prefix joining the given CTE texts."""
     return "WITH " + ",\n".join(c.strip() for c in ctes) + "\n"
+
+
+# ---------------------------------------------------------------------------
+# Further derived inputs: forecast/actual pairs, plans, accuracy log,
+# uploads and forecast requests. All grow with the underlying tables.
+# ---------------------------------------------------------------------------
+
+
+def naive_pairs(sales: DataFrame) -> DataFrame:
+    """Actual vs a naive forecast (demand 7 rows earlier in the series), so
+    the accuracy operators can be checked without a model."""
+    from pyspark.sql import Window
+
+    w = Window.partitionBy("business_type", "item_name").orderBy("date")
+    return (
+        sales.select("business_type", "item_name", "date",
+                     F.col("customer_demand").cast("double").alias("y_true"),
+                     F.lag("customer_demand", 7).over(w).cast("double").alias("y_pred"),
+                     F.col("quantity_available"))
+        .where(F.col("y_pred").isNotNull())
+    )
+
+
+def plans(sales: DataFrame) -> DataFrame:
+    """Production plans: the quantity actually made (quantity_available)
+    against the naive forecast of the day."""
+    return naive_pairs(sales).select(
+        "business_type", "item_name", "date",
+        F.col("y_pred").cast("bigint").alias("predicted_demand"),
+        F.col("quantity_available").cast("bigint").alias("planned_quantity"),
+    )
+
+
+def accuracy_log(sales: DataFrame) -> DataFrame:
+    """Accuracy log: one entry per (series, week) of naive-forecast scores."""
+    from demandlake.operators.monitor import score_actuals
+
+    return score_actuals(naive_pairs(sales), ts="date")
+
+
+def uploads(lineitem: DataFrame, part: DataFrame) -> DataFrame:
+    """An uploaded sales file (text date) over lineitem rows, with the bad
+    cells real uploads have: unparseable dates (line number 7), negative
+    sales (quantity below 3) and sales above availability."""
+    li = lineitem.select("l_orderkey", "l_partkey", "l_linenumber", "l_quantity", "l_shipdate")
+    j = li.join(part.select("p_partkey", "p_type"), li.l_partkey == part.p_partkey)
+    return j.select(
+        F.when(F.col("l_linenumber") == 7, F.lit("2024-13-45"))
+        .otherwise(F.date_format("l_shipdate", "yyyy-MM-dd")).alias("date"),
+        F.col("p_type").alias("item_name"),
+        (F.col("l_quantity").cast("bigint") - 3).alias("quantity_sold"),
+        (F.col("l_quantity").cast("bigint") + F.col("l_orderkey") % 5 - 4).alias("quantity_available"),
+    )
+
+
+def week_requests(part: DataFrame) -> DataFrame:
+    """Week forecast requests over ``part``, including the invalid inputs
+    the validators reject: blank names (size 1), unknown business (2), bad
+    date (3), 6 weather days (4), unknown weather (5), holiday flag 2 (6),
+    non-positive price (p_partkey % 60 below 3)."""
+    size = F.col("p_size")
+    biz = F.element_at(F.array(*[F.lit(b) for b in BUSINESS_TYPES]), (F.col("p_partkey") % 3 + 1).cast("int"))
+    days = F.sequence(F.lit(0), F.lit(6))
+    weather = F.transform(days, lambda i: F.when((F.col("p_partkey") + i) % 5 == 0, F.lit("Rainy")).otherwise(F.lit("Clear")))
+    holidays = F.transform(days, lambda i: F.when((F.col("p_partkey") + i) % 20 == 0, F.lit(1)).otherwise(F.lit(0)))
+    return part.select(
+        F.col("p_partkey").alias("request_id"),
+        F.when(size == 1, F.lit("   ")).otherwise(F.col("p_name")).alias("item_name"),
+        F.when(size == 2, F.lit("Diner")).otherwise(biz).alias("business_type"),
+        ((F.col("p_partkey") % 60) - 2).cast("double").alias("price"),
+        (size / 2.0).alias("shelf_life_hours"),
+        F.when(size == 3, F.lit("2025-13-01"))
+        .otherwise(F.date_format(F.date_add(F.lit("2025-12-01").cast("date"), size), "yyyy-MM-dd"))
+        .alias("starting_date"),
+        F.when(size == 4, F.slice(weather, 1, 6))
+        .when(size == 5, F.concat(F.slice(weather, 1, 6), F.array(F.lit("Snowy"))))
+        .otherwise(weather).alias("weather_forecast"),
+        F.when(size == 6, F.concat(F.slice(holidays, 1, 6), F.array(F.lit(2))))
+        .otherwise(holidays).cast("array<int>").alias("holiday_flags"),
+    )
+
+
+NAIVE_SQL = """
+naive AS (
+  SELECT * FROM (
+    SELECT business_type, item_name, date, CAST(customer_demand AS DOUBLE) AS y_true,
+           CAST(lag(customer_demand, 7) OVER (PARTITION BY business_type, item_name ORDER BY date) AS DOUBLE) AS y_pred,
+           quantity_available
+    FROM sales) n
+  WHERE y_pred IS NOT NULL
+)
+"""
+
+PLANS_SQL = """
+plans AS (
+  SELECT business_type, item_name, date, CAST(y_pred AS BIGINT) AS predicted_demand,
+         CAST(quantity_available AS BIGINT) AS planned_quantity
+  FROM naive
+)
+"""
+
+ACCURACY_LOG_SQL = """
+acclog AS (
+  SELECT business_type, item_name, timestamp, round(mae, 2) AS mae, round(mape, 2) AS mape,
+         round(rmse, 2) AS rmse, round(r2, 3) AS r2, n_predictions, round(mape, 2) > 25 AS drift
+  FROM (
+    SELECT business_type, item_name, CAST(date_trunc('week', date) AS TIMESTAMP) AS timestamp,
+           avg(abs(y_true - y_pred)) AS mae,
+           avg(abs(y_true - y_pred) / greatest(abs(y_true), 2.220446049250313e-16)) * 100.0 AS mape,
+           sqrt(avg((y_true - y_pred) * (y_true - y_pred))) AS rmse,
+           CASE WHEN sum(y_true * y_true) - sum(y_true) * sum(y_true) / count(y_true) = 0
+                THEN CASE WHEN sum((y_true - y_pred) * (y_true - y_pred)) = 0 THEN 1.0 ELSE 0.0 END
+                ELSE 1.0 - sum((y_true - y_pred) * (y_true - y_pred)) / (sum(y_true * y_true) - sum(y_true) * sum(y_true) / count(y_true)) END AS r2,
+           count(y_true) AS n_predictions
+    FROM naive GROUP BY 1, 2, 3) s
+)
+"""
+
+UPLOADS_SQL = """
+uploads AS (
+  SELECT CASE WHEN l_linenumber = 7 THEN '2024-13-45' ELSE strftime(l_shipdate, '%Y-%m-%d') END AS date,
+         p_type AS item_name,
+         CAST(l_quantity AS BIGINT) - 3 AS quantity_sold,
+         CAST(l_quantity AS BIGINT) + l_orderkey % 5 - 4 AS quantity_available
+  FROM lineitem JOIN part ON l_partkey = p_partkey
+)
+"""
+
+REQUESTS_SQL = """
+requests AS (
+  SELECT p_partkey AS request_id,
+         CASE WHEN p_size = 1 THEN '   ' ELSE p_name END AS item_name,
+         CASE WHEN p_size = 2 THEN 'Diner' ELSE (['Restaurant', 'Cafe', 'Bakery'])[CAST(p_partkey % 3 + 1 AS INTEGER)] END AS business_type,
+         CAST(p_partkey % 60 - 2 AS DOUBLE) AS price,
+         p_size / 2.0 AS shelf_life_hours,
+         CASE WHEN p_size = 3 THEN '2025-13-01' ELSE strftime(DATE '2025-12-01' + CAST(p_size AS INTEGER), '%Y-%m-%d') END AS starting_date,
+         CASE WHEN p_size = 4 THEN w[1:6] WHEN p_size = 5 THEN list_concat(w[1:6], ['Snowy']) ELSE w END AS weather_forecast,
+         CASE WHEN p_size = 6 THEN list_concat(h[1:6], [2]) ELSE h END AS holiday_flags
+  FROM (SELECT *,
+               [CASE WHEN (p_partkey + i) % 5 = 0 THEN 'Rainy' ELSE 'Clear' END FOR i IN range(0, 7)] AS w,
+               [CASE WHEN (p_partkey + i) % 20 = 0 THEN 1 ELSE 0 END FOR i IN range(0, 7)] AS h
+        FROM part) p
+)
+"""
