@@ -302,3 +302,67 @@ requests AS (
         FROM part) p
 )
 """
+
+
+def series_requests(sales: DataFrame) -> DataFrame:
+    """One week-forecast request per sales series, starting the day after
+    the series' last sales date, with weather and holidays from the same
+    calendar rules as the sales table."""
+    days = F.sequence(F.lit(0), F.lit(6))
+    start = F.date_add(F.col("_last"), 1)
+    weather = F.transform(days, lambda i: F.when(F.dayofmonth(F.date_add(F.col("_last"), i + 1)) % 5 == 0,
+                                                 F.lit("Rainy")).otherwise(F.lit("Clear")))
+    holidays = F.transform(days, lambda i: F.when(F.dayofyear(F.date_add(F.col("_last"), i + 1)) % 20 == 0,
+                                                  F.lit(1)).otherwise(F.lit(0)))
+    return sales.groupBy("business_type", "item_name").agg(
+        F.max("date").alias("_last"),
+        F.max_by("price", "date").alias("price"),
+        F.max_by("shelf_life_hours", "date").alias("shelf_life_hours"),
+    ).select(
+        F.substring(F.md5(F.concat_ws("|", "business_type", "item_name")), 1, 16).alias("request_id"),
+        "item_name", "business_type", "price", "shelf_life_hours",
+        F.date_format(start, "yyyy-MM-dd").alias("starting_date"),
+        weather.alias("weather_forecast"),
+        holidays.cast("array<int>").alias("holiday_flags"),
+    )
+
+
+def all_requests(spark, sf_dir: str) -> DataFrame:
+    """Valid week requests: every sales series plus every menu request
+    that passes validation (request ids as text)."""
+    from demandlake.operators.quality import validate_requests
+
+    sales = load_sales(spark, sf_dir)
+    ok, _ = validate_requests(week_requests(table(spark, sf_dir, "part")))
+    return series_requests(sales).unionByName(ok.withColumn("request_id", F.col("request_id").cast("string")))
+
+
+SERIES_REQUESTS_SQL = """
+series_req AS (
+  SELECT request_id, item_name, business_type, price, shelf_life_hours,
+         strftime(last + 1, '%Y-%m-%d') AS starting_date,
+         [CASE WHEN dayofmonth(last + 1 + CAST(i AS INTEGER)) % 5 = 0 THEN 'Rainy' ELSE 'Clear' END FOR i IN range(0, 7)]
+           AS weather_forecast,
+         [CASE WHEN dayofyear(last + 1 + CAST(i AS INTEGER)) % 20 = 0 THEN 1 ELSE 0 END FOR i IN range(0, 7)] AS holiday_flags
+  FROM (SELECT substr(md5(business_type || '|' || item_name), 1, 16) AS request_id, item_name, business_type,
+               arg_max(price, date) AS price, arg_max(shelf_life_hours, date) AS shelf_life_hours, max(date) AS last
+        FROM sales GROUP BY business_type, item_name) s
+)
+"""
+
+VALID_REQUESTS_SQL = """
+valid_req AS (
+  SELECT CAST(request_id AS VARCHAR) AS request_id, trim(item_name) AS item_name, business_type, price,
+         shelf_life_hours, starting_date, weather_forecast, holiday_flags
+  FROM requests
+  WHERE coalesce(length(trim(item_name)) > 0, false)
+    AND coalesce(business_type IN ('Restaurant', 'Cafe', 'Bakery'), false)
+    AND coalesce(price > 0, false) AND coalesce(shelf_life_hours > 0, false)
+    AND try_strptime(trim(starting_date), '%Y-%m-%d') IS NOT NULL
+    AND coalesce(len(weather_forecast) = 7, false)
+    AND coalesce(list_bool_and(list_transform(weather_forecast, lambda x: coalesce(x IN ('Clear', 'Rainy'), false))), false)
+    AND coalesce(len(holiday_flags) = 7, false)
+    AND coalesce(list_bool_and(list_transform(holiday_flags, lambda x: coalesce(x IN (0, 1), false))), false)
+),
+all_req AS (SELECT * FROM series_req UNION ALL SELECT * FROM valid_req)
+"""
