@@ -4,9 +4,9 @@ C5, C8-C10).
 Scoring groups every series in one aggregation (the reference scores one
 call at a time). "Last n log entries" is a top-k (TakeOrderedAndProject:
 each partition keeps n rows, then a merge), never a global sort. Run
-detection over the request log uses bounded time buckets: islands are found
-inside each bucket in parallel and only the pieces that touch a bucket edge
-are stitched, over a table with at most two pieces per bucket.
+detection over the request log uses size-balanced range buckets: islands
+are found inside each bucket in parallel and only the pieces that touch a
+bucket edge are stitched, over a table with at most two pieces per bucket.
 """
 
 from __future__ import annotations
@@ -135,17 +135,23 @@ def request_metrics(log: DataFrame) -> DataFrame:
 
 
 def failure_islands(log: DataFrame, failed: str = "failed", ts: str = "ts", tie: str = "event_id",
-                    bucket: str = "1 hour") -> DataFrame:
+                    n_ranges: int | None = None) -> DataFrame:
     """Maximal runs of consecutive failed events in (ts, tie) order:
     (run_start, run_end, n_events).
 
-    Events are split into time buckets; within a bucket (a bounded task)
-    each failed event is labelled by the number of good events before it.
-    Runs inside a bucket are final; runs touching a bucket edge are
-    stitched across consecutive non-empty buckets."""
-    b = F.date_trunc("hour", ts) if bucket == "1 hour" else F.window(ts, bucket).start
-    ev = log.select(F.col(ts).alias("_ts"), F.col(tie).alias("_tie"), F.col(failed).cast("boolean").alias("_bad"),
-                    b.alias("_bucket"))
+    Events are range-partitioned on (ts, tie) into ``n_ranges`` contiguous,
+    size-balanced buckets (bounds come from a sample, so a burst that holds
+    a third of all events is split over many buckets rather than landing in
+    one task). Within a bucket each failed event is labelled by the number
+    of good events before it; runs inside a bucket are final, and runs
+    touching a bucket edge are stitched across consecutive non-empty buckets
+    over a table of at most two pieces per bucket."""
+    spark = log.sparkSession
+    n = n_ranges or max(int(spark.conf.get("spark.sql.shuffle.partitions")),
+                        spark.sparkContext.defaultParallelism)
+    ev = (log.select(F.col(ts).alias("_ts"), F.col(tie).alias("_tie"), F.col(failed).cast("boolean").alias("_bad"))
+          .repartitionByRange(n, "_ts", "_tie")
+          .withColumn("_bucket", F.spark_partition_id()))
     wb = Window.partitionBy("_bucket").orderBy("_ts", "_tie")
     ev = ev.withColumns({
         "_good_before": F.sum(F.when(F.col("_bad"), 0).otherwise(1)).over(
@@ -163,7 +169,7 @@ def failure_islands(log: DataFrame, failed: str = "failed", ts: str = "ts", tie:
     })
     interior = pieces.where(~F.col("_at_start") & ~F.col("_at_end"))
     edge = pieces.where(F.col("_at_start") | F.col("_at_end"))
-    # Rank of each non-empty bucket (a calendar-bounded table).
+    # Rank of each non-empty bucket (at most n_ranges rows).
     buckets = ev.select("_bucket").distinct().withColumn(
         "_brank", F.row_number().over(Window.orderBy("_bucket")))
     edge = edge.join(buckets, "_bucket")

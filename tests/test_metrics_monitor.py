@@ -40,7 +40,7 @@ def test_zero_actual_and_constant_actuals(spark):
 
 def _log(spark, mapes):
     base = dt.datetime(2025, 1, 1)
-    rows = [(base + dt.timedelta(days=i), 1.0, m, 1.0, 0.5, 5, "Cafe" if i % 2 else "Bakery", "Latte")
+    rows = [(base + dt.timedelta(days=i), 1.0, float(m), 1.0, 0.5, 5, "Cafe" if i % 2 else "Bakery", "Latte")
             for i, m in enumerate(mapes)]
     return spark.createDataFrame(rows, "timestamp timestamp, mae double, mape double, rmse double, r2 double, "
                                        "n_predictions bigint, business_type string, item_name string")
@@ -95,3 +95,21 @@ def test_request_metrics_and_runs(spark):
     assert len(runs) == 1 and runs[0].n_events == 12
     out = mo.outages(log).collect()
     assert len(out) == 1 and out[0].duration_s == 330.0
+
+
+def test_failure_islands_with_a_burst(spark):
+    """A third of all events inside one second: the range buckets split
+    the burst, and the stitched runs still equal brute force."""
+    rnd = random.Random(11)
+    base = dt.datetime(2024, 1, 1)
+    events = []
+    for i in range(900):
+        if i < 300:
+            t = base + dt.timedelta(microseconds=i)  # the burst
+        else:
+            t = base + dt.timedelta(seconds=1 + (i - 300) * 90)
+        events.append((t, i, rnd.random() < 0.6))
+    df = spark.createDataFrame(events, "ts timestamp, event_id bigint, failed boolean")
+    for n in (1, 5, 16):
+        got = sorted((r.run_start, r.run_end, r.n_events) for r in mo.failure_islands(df, n_ranges=n).collect())
+        assert got == _brute_runs(events)
