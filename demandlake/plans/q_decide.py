@@ -125,7 +125,7 @@ fc_new AS (SELECT business_type, item_name, date AS forecast_date, p1 AS predict
 
 
 def _forecast_versions(spark, sf_dir):
-    sales = td.load_sales(spark, sf_dir)
+    sales = td.load_sales(spark, sf_dir, materialize=True)
     old = td.plans(sales).select("business_type", "item_name", F.col("date").alias("forecast_date"),
                                  "predicted_demand", F.lit(1).alias("version"))
     w = Window.partitionBy("business_type", "item_name").orderBy("date")
@@ -164,7 +164,7 @@ def todays_forecasts(spark, sf_dir):
     """The latest day's forecasts of one business with menu ids, by item."""
     from demandlake.functions.rules import recommended_quantity
 
-    sales = td.load_sales(spark, sf_dir)
+    sales = td.load_sales(spark, sf_dir, materialize=True)
     fc = td.plans(sales).select("business_type", "item_name", F.col("date").alias("forecast_date"),
                                 "predicted_demand",
                                 recommended_quantity("predicted_demand").alias("recommended_quantity"))

@@ -193,7 +193,7 @@ def history_last_30(spark, sf_dir):
 )
 def time_split_summary(spark, sf_dir):
     """cutoff = max(date) - 30 days; train <= cutoff < test."""
-    train, test = wn.time_split(td.load_sales(spark, sf_dir), days=30)
+    train, test = wn.time_split(td.load_sales(spark, sf_dir, materialize=True), days=30)
 
     def summary(df, name):
         return df.groupBy(F.lit(name).alias("part")).agg(

@@ -74,8 +74,17 @@ def sales_from_tables(lineitem: DataFrame, part: DataFrame) -> DataFrame:
     return out.select([F.col(f.name).cast(f.dataType) for f in SALES_SCHEMA.fields])
 
 
-def load_sales(spark: SparkSession, sf_dir: str = DEFAULT_SF_DIR) -> DataFrame:
-    return sales_from_tables(table(spark, sf_dir, "lineitem"), table(spark, sf_dir, "part"))
+def load_sales(spark: SparkSession, sf_dir: str = DEFAULT_SF_DIR, materialize: bool = False) -> DataFrame:
+    """The daily sales table. ``materialize=True`` checkpoints it into the
+    shared checkpoint folder: used by jobs that read it more than once
+    (several actions, or a scalar subquery such as a max-date cutoff, which
+    cannot reuse the main plan's exchange), so lineitem is scanned once."""
+    df = sales_from_tables(table(spark, sf_dir, "lineitem"), table(spark, sf_dir, "part"))
+    if materialize:
+        from demandlake.session import cut_lineage
+
+        df = cut_lineage(df)
+    return df
 
 
 def menu_items(part: DataFrame) -> DataFrame:
@@ -327,12 +336,12 @@ def series_requests(sales: DataFrame) -> DataFrame:
     )
 
 
-def all_requests(spark, sf_dir: str) -> DataFrame:
+def all_requests(spark, sf_dir: str, sales: DataFrame | None = None) -> DataFrame:
     """Valid week requests: every sales series plus every menu request
     that passes validation (request ids as text)."""
     from demandlake.operators.quality import validate_requests
 
-    sales = load_sales(spark, sf_dir)
+    sales = sales if sales is not None else load_sales(spark, sf_dir)
     ok, _ = validate_requests(week_requests(table(spark, sf_dir, "part")))
     return series_requests(sales).unionByName(ok.withColumn("request_id", F.col("request_id").cast("string")))
 
