@@ -170,20 +170,45 @@ def add_rolling(df: DataFrame, include_current: bool = True, **kw) -> DataFrame:
     return df.withColumns(rolling_columns(include_current=include_current, **kw))
 
 
+FILLED = "_filled"
+
+
+def densify(df: DataFrame, keys: Sequence[str] = SERIES_KEYS, date: str = "date") -> DataFrame:
+    """Insert every missing calendar day inside each series' own date range
+    (A7 per series) as a row with null measures, flagged ``_filled``.
+
+    Lags and rolling frames over the dense table count days, not rows
+    ("previous week" = 7 days earlier). The calendar holds one row per
+    series-day, so it is bounded by the date range."""
+    from demandlake.operators.eda import missing_dates
+
+    keys = list(keys)
+    gaps = missing_dates(df.select(*keys, date), by=keys, date=date).withColumn(FILLED, F.lit(True))
+    return df.withColumn(FILLED, F.lit(False)).unionByName(gaps, allowMissingColumns=True)
+
+
 def build_features(
     sales: DataFrame,
     include_current: bool = True,
     dim: DataFrame | None = None,
     keywords: bool = True,
     strict: bool = True,
+    densify_days: bool = False,
 ) -> DataFrame:
     """Full feature table: raw 11 + calendar + weather + item + lags +
-    rolling + interactions + cyclical, numeric nulls filled with 0."""
-    df = add_calendar(sales)
+    rolling + interactions + cyclical, numeric nulls filled with 0.
+
+    ``densify_days=True`` computes lags and rolling stats over the calendar
+    (gap days count as missing values) instead of over rows; only the
+    original rows are returned."""
+    df = densify(sales) if densify_days else sales
+    df = df.withColumns({**lag_columns(), **rolling_columns(include_current=include_current)})
+    if densify_days:
+        df = df.where(~F.col(FILLED)).drop(FILLED)
+    df = add_calendar(df)
     df = add_weather(df)
     df = enrich_items(df, dim=dim, keywords=keywords)
     df = encode_labels(df, strict=strict)
-    df = df.withColumns({**lag_columns(), **rolling_columns(include_current=include_current)})
     df = add_interactions(df)
     df = add_cyclical(df)
     return fill_missing(df)

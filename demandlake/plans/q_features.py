@@ -137,6 +137,31 @@ FULL_COLS = KEYS + ", " + ", ".join(
 ) + ", customer_demand:i"
 
 
+@register(
+    "features_windows_by_day",
+    WIN_COLS,
+    with_sql(SALES_SQL) + f""", cal AS (
+  SELECT business_type, item_name, CAST(unnest(generate_series(min(date), max(date), INTERVAL 1 DAY)) AS DATE) AS date
+  FROM sales GROUP BY 1, 2),
+dense AS (
+  SELECT c.business_type, c.item_name, c.date, s.customer_demand, s.quantity_sold, s.waste_quantity,
+         s.business_type IS NULL AS filled
+  FROM cal c LEFT JOIN sales s
+    ON c.business_type = s.business_type AND c.item_name = s.item_name AND c.date = s.date)
+SELECT business_type, item_name, date, prev_day_demand, prev_day_sold, prev_day_waste, prev_week_demand,
+       rolling_3day_demand, rolling_7day_demand, rolling_14day_demand, rolling_30day_demand,
+       rolling_7day_std, rolling_14day_std
+FROM (SELECT business_type, item_name, date, filled, {windows_sql(True)} FROM dense) w
+WHERE NOT filled""",
+)
+def features_windows_by_day(spark, sf_dir):
+    """W1-W4 over the densified calendar: gap days count, so the previous
+    week is 7 days back (SURVEY hard part 5, ``densify_days=True``)."""
+    df = fe.densify(td.load_sales(spark, sf_dir))
+    df = fe.add_rolling(fe.add_lags(df))
+    return df.where(~F.col(fe.FILLED))
+
+
 @register(
     "features_full",
     FULL_COLS,
