@@ -9,9 +9,11 @@
 - T3 ``stream_risk``: stateless waste-risk scoring of a plan stream joined
   to a static forecast table (stream-static join).
 
-Sinks are file tables written through ``foreachBatch`` with the batch id,
-so a restarted query (same checkpoint) rewrites a batch idempotently and
-readers take the newest version of each key.
+Sinks are file tables written through ``foreachBatch`` into a
+``_batch=<id>`` partition with dynamic partition overwrite, so a batch
+replayed after a failure (same checkpoint) replaces its own output instead
+of duplicating it; readers of update-mode tables take the newest version of
+each key.
 """
 
 from __future__ import annotations
@@ -27,15 +29,25 @@ from demandlake.operators.decide import add_waste_risk
 from demandlake.operators.quality import split_valid
 
 
+def _write_batch(df: DataFrame, batch_id: int, path: str) -> None:
+    """Idempotent per-batch write: the batch owns partition ``_batch=id``."""
+    (df.withColumn("_batch", F.lit(batch_id)).write.mode("overwrite")
+     .option("partitionOverwriteMode", "dynamic").partitionBy("_batch").parquet(path))
+
+
 def stream_ingest(sdf: DataFrame, history: str, quarantine: str, checkpoint: str,
                   rules_fn, available_now: bool = True) -> StreamingQuery:
     """``rules_fn(df) -> rules``; valid rows are appended to
     ``history``, failing rows (with ``reasons``) to ``quarantine``."""
 
     def per_batch(batch: DataFrame, batch_id: int) -> None:
-        good, bad = split_valid(batch, rules_fn(batch), levels=("issue", "error", "reject"))
-        good.withColumn("_batch", F.lit(batch_id)).write.mode("append").parquet(history)
-        bad.withColumn("_batch", F.lit(batch_id)).write.mode("append").parquet(quarantine)
+        batch = batch.persist()  # two outputs read the same micro-batch
+        try:
+            good, bad = split_valid(batch, rules_fn(batch), levels=("issue", "error", "reject"))
+            _write_batch(good, batch_id, history)
+            _write_batch(bad, batch_id, quarantine)
+        finally:
+            batch.unpersist()
 
     w = sdf.writeStream.foreachBatch(per_batch).option("checkpointLocation", checkpoint)
     w = w.trigger(availableNow=True) if available_now else w.trigger(processingTime="1 minute")
@@ -66,7 +78,7 @@ def run_to_table(sdf: DataFrame, path: str, checkpoint: str, mode: str = "update
     """Run a streaming aggregate into a file table with the batch id."""
 
     def per_batch(batch: DataFrame, batch_id: int) -> None:
-        batch.withColumn("_batch", F.lit(batch_id)).write.mode("append").parquet(path)
+        _write_batch(batch, batch_id, path)
 
     w = sdf.writeStream.outputMode(mode).foreachBatch(per_batch).option("checkpointLocation", checkpoint)
     w = w.trigger(availableNow=True) if available_now else w.trigger(processingTime="1 minute")
