@@ -57,7 +57,15 @@ def cut_lineage(df: DataFrame) -> DataFrame:
 def sized_broadcast(df: DataFrame, max_rows: int = 1_000_000) -> DataFrame:
     """Broadcast ``df`` only when it provably holds at most ``max_rows`` rows.
 
-    The bound is checked with a limit+count (stops after ``max_rows + 1``
-    rows); above it the frame is returned as is and the planner shuffles."""
-    n = df.limit(max_rows + 1).count()
-    return F.broadcast(df) if n <= max_rows else df
+    The frame is persisted, then the bound is checked with a limit+count
+    (stops after ``max_rows + 1`` rows); the query then reads the cached
+    rows instead of recomputing them. Above the bound the cache is dropped
+    and the frame is returned as is, so the planner shuffles."""
+    from pyspark import StorageLevel
+
+    cached = df.persist(StorageLevel.MEMORY_AND_DISK)
+    n = cached.limit(max_rows + 1).count()
+    if n <= max_rows:
+        return F.broadcast(cached)
+    cached.unpersist()
+    return df
