@@ -234,6 +234,33 @@ def week_request_rules(df: DataFrame) -> list[tuple[str, str, Column]]:
     return rules
 
 
+def day_request_rules(df: DataFrame) -> list[tuple[str, str, Column]]:
+    """R1-R3, R5 for single-day requests: name, business domain, positive
+    price and shelf life, ISO date, weather in the closed domain (missing =
+    'Clear'), holiday flag 0/1 (missing = 0)."""
+    c = F.col
+    return [
+        ("item_name_empty", "reject", F.coalesce(F.length(F.trim(c("item_name"))) == 0, F.lit(True))),
+        ("business_type_invalid", "reject", ~F.coalesce(c("business_type").isin(BUSINESS_TYPES), F.lit(False))),
+        ("price_not_positive", "reject", ~F.coalesce(c("price") > 0, F.lit(False))),
+        ("shelf_life_not_positive", "reject", ~F.coalesce(c("shelf_life_hours") > 0, F.lit(False))),
+        ("date_invalid", "reject", parse_date("date").isNull()),
+        ("weather_invalid", "reject", ~F.coalesce(F.coalesce(c("weather"), F.lit("Clear")).isin(WEATHER_VALUES), F.lit(False))),
+        ("holiday_invalid", "reject", ~F.coalesce(F.coalesce(c("is_holiday"), F.lit(0)).isin(0, 1), F.lit(False))),
+    ]
+
+
+def validate_day_requests(df: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Single-day requests: (valid with trimmed name and defaults applied,
+    rejected with reasons)."""
+    ok, bad = split_valid(df, day_request_rules(df))
+    return ok.withColumns({
+        "item_name": F.trim("item_name"),
+        "weather": F.coalesce(F.col("weather"), F.lit("Clear")),
+        "is_holiday": F.coalesce(F.col("is_holiday"), F.lit(0)).cast("int"),
+    }), bad
+
+
 def plan_rules(df: DataFrame, pred: str = "predicted_demand", planned: str = "planned_quantity") -> list:
     """Predicted and planned quantities are present and non-negative."""
     c = F.col

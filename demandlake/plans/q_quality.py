@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from demandlake.operators import quality as qa
 from demandlake.plans.registry import register
 from demandlake.sources import testdata as td
-from demandlake.sources.testdata import REQUESTS_SQL, SALES_SQL, UPLOADS_SQL, with_sql
+from demandlake.sources.testdata import DAY_REQUESTS_SQL, REQUESTS_SQL, SALES_SQL, UPLOADS_SQL, with_sql
 
 _ALL = ["business_type", "item_name", "date", "price", "shelf_life_hours", "quantity_available", "quantity_sold",
         "customer_demand", "waste_quantity", "weather_condition", "holiday_flag"]
@@ -131,3 +131,27 @@ def requests_rejected(spark, sf_dir):
     """Week-forecast requests that fail validation, with reasons."""
     _, bad = qa.validate_requests(td.week_requests(td.table(spark, sf_dir, "part")))
     return bad.withColumn("reasons", F.array_join("reasons", ","))
+
+
+@register(
+    "day_requests_rejected",
+    "request_id:i, item_name:s, business_type:s, reasons:s",
+    with_sql(REQUESTS_SQL, DAY_REQUESTS_SQL) + """
+SELECT * FROM (
+  SELECT request_id, item_name, business_type,
+         array_to_string(list_filter([
+           CASE WHEN coalesce(length(trim(item_name)) = 0, true) THEN 'item_name_empty' END,
+           CASE WHEN NOT coalesce(business_type IN ('Restaurant', 'Cafe', 'Bakery'), false) THEN 'business_type_invalid' END,
+           CASE WHEN NOT coalesce(price > 0, false) THEN 'price_not_positive' END,
+           CASE WHEN NOT coalesce(shelf_life_hours > 0, false) THEN 'shelf_life_not_positive' END,
+           CASE WHEN try_strptime(trim(date), '%Y-%m-%d') IS NULL THEN 'date_invalid' END,
+           CASE WHEN NOT coalesce(coalesce(weather, 'Clear') IN ('Clear', 'Rainy'), false) THEN 'weather_invalid' END,
+           CASE WHEN NOT coalesce(coalesce(is_holiday, 0) IN (0, 1), false) THEN 'holiday_invalid' END],
+           lambda x: x IS NOT NULL), ',') AS reasons
+  FROM day_requests) r WHERE reasons <> ''""",
+)
+def day_requests_rejected(spark, sf_dir):
+    """R1-R3 + R5: single-day requests that fail validation, with reasons
+    (weather defaults to 'Clear', holiday flag to 0)."""
+    _, bad = qa.validate_day_requests(td.day_requests(td.table(spark, sf_dir, "part")))
+    return bad.withColumn("reasons", F.array_join("reasons", ","))

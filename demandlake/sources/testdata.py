@@ -249,6 +249,27 @@ def week_requests(part: DataFrame) -> DataFrame:
     )
 
 
+def day_requests(part: DataFrame) -> DataFrame:
+    """Single-day requests over ``part``: the week request's start date
+    with the weather and holiday flag of its last listed day (so the
+    unknown-weather and holiday-2 cases carry over)."""
+    w = week_requests(part)
+    return w.select(
+        "request_id", "item_name", "business_type", "price", "shelf_life_hours",
+        F.col("starting_date").alias("date"),
+        F.element_at("weather_forecast", -1).alias("weather"),
+        F.element_at("holiday_flags", -1).alias("is_holiday"),
+    )
+
+
+DAY_REQUESTS_SQL = """
+day_requests AS (
+  SELECT request_id, item_name, business_type, price, shelf_life_hours, starting_date AS date,
+         weather_forecast[-1] AS weather, holiday_flags[-1] AS is_holiday
+  FROM requests
+)
+"""
+
 NAIVE_SQL = """
 naive AS (
   SELECT * FROM (
