@@ -5,7 +5,8 @@
   (table rules such as duplicates need whole tables and stay batch jobs).
 - T2 ``stream_accuracy``: daily accuracy per business from a stream of
   (ts, actual, predicted) with a watermark; state older than the watermark
-  is evicted, later rows are dropped.
+  is evicted, and rows older than the previous batch's watermark are
+  dropped (Spark judges lateness one batch behind).
 - T3 ``stream_risk``: stateless waste-risk scoring of a plan stream joined
   to a static forecast table (stream-static join).
 
