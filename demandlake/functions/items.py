@@ -69,9 +69,11 @@ def guess_item(
     low = F.lower(_c(name))
     cat_out, cx_out = stage_cat, stage_cx
     for words, cat, cx in reversed(GUESS_KEYWORD_GROUPS):
-        hit = F.lit(False)
-        for w in words:
-            hit = hit | F.coalesce(low.contains(w), F.lit(False))
+        # One regex find per group ("a|b|c" matches anywhere, i.e. the same
+        # as any substring test) keeps the generated code small enough to
+        # be JIT-compiled; the words are plain letters, so no escaping.
+        assert all(w.isalpha() for w in words)
+        hit = F.coalesce(low.rlike("|".join(words)), F.lit(False))
         cat_out = F.when(hit, F.lit(cat)).otherwise(cat_out)
         cx_out = F.when(hit, F.lit(cx)).otherwise(cx_out)
     return cat_out, cx_out
