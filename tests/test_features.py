@@ -80,3 +80,31 @@ def test_sold_waste_rule(spark):
     df = spark.createDataFrame([(10, 7), (5, 9), (0, 0)], "customer_demand bigint, quantity_available bigint")
     got = [(r.quantity_sold, r.waste_quantity) for r in fe.derive_sold_waste(df).collect()]
     assert got == [(7, 0), (5, 4), (0, 0)]
+
+
+def test_enrich_items_with_dimension_table(spark):
+    from demandlake.session import sized_broadcast
+
+    df = spark.createDataFrame(sales_rows(2, item="House Special") + sales_rows(2, item="Green Tea"), SALES_DDL)
+    dim = spark.createDataFrame([("House Special", "main_meal", 5)],
+                                "item_name string, category string, preparation_complexity int")
+    got = {r.item_name: (r.category, r.preparation_complexity) for r in fe.enrich_items(df, dim=dim).collect()}
+    assert got == {"House Special": ("main_meal", 5), "Green Tea": ("beverage", 1)}
+    plan = sized_broadcast(dim, max_rows=1)._jdf.queryExecution().logical().toString()
+    assert "broadcast" in plan.lower()
+    plan = sized_broadcast(df, max_rows=1)._jdf.queryExecution().logical().toString()
+    assert "broadcast" not in plan.lower()  # above the bound: no hint, the planner decides
+
+
+def test_densified_lags_count_days(spark):
+    rows = [("Cafe", "Latte", dt.date(2025, 6, 1) + dt.timedelta(days=d), 5.0, 1.0, 12, 10, 10 + d, 2, "Clear", 0)
+            for d in (0, 1, 2, 5, 6, 7, 8, 9, 10, 11)]
+    df = spark.createDataFrame(rows, SALES_DDL)
+    by_row = {r.date: r for r in fe.build_features(df).collect()}
+    by_day = {r.date: r for r in fe.build_features(df, densify_days=True).collect()}
+    gap_end = dt.date(2025, 6, 6)
+    assert len(by_day) == len(rows)  # filled days are not returned
+    assert by_row[gap_end].prev_day_demand == 12 and by_day[gap_end].prev_day_demand == 0
+    d8 = dt.date(2025, 6, 8)  # 7 days earlier is 06-01 (demand 10); 7 rows earlier does not exist
+    assert by_day[d8].prev_week_demand == 10 and by_row[d8].prev_week_demand == 0
+    assert by_day[d8].rolling_3day_demand == np.mean([15, 16, 17])
