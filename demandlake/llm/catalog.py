@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from demandlake.llm import decontam, markov_secrets, nbest, quality, simhash
+from demandlake.llm import dac, decontam, markov_secrets, nbest, quality, simhash, toxicity
 
 QUERIES = {
     "op2_simhash_near_dedup": simhash.query,
     "op3_quality_rules": quality.query,
+    "op5_token_dac": dac.query,
     "op6_sentencepiece_nbest": nbest.query,
+    "op7_toxicity_mil": toxicity.query,
     "op8_secret_scan": markov_secrets.query,
     "op9_decontamination": decontam.query,
 }

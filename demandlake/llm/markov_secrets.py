@@ -121,13 +121,13 @@ def fit(transitions: DataFrame) -> np.ndarray:
 
 
 def markov_spans(text: str, taken: list[tuple[int, int, int, int]], ratio: np.ndarray) -> list[tuple[int, int]]:
-    """Candidates outside the base spans whose ratio passes both thresholds. Only strings with
-    a digit, or with letters of either case inside, are candidates."""
+    """Candidates outside the base spans whose ratio passes both thresholds. Words of one case
+    and plain numbers are not candidates."""
     out = []
     for m in _CANDIDATE.finditer(text):
         s, e = m.span()
         run = m.group()
-        if not (any(c.isdigit() for c in run) or (run[1:].lower() != run[1:] and run[1:].upper() != run[1:])):
+        if run.isdigit() or run.isalpha() and (run[1:].islower() or run.isupper()):
             continue
         if any(a < e and s < b for a, _, b, _ in taken):
             continue

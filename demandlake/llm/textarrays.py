@@ -14,6 +14,8 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 CHUNK = 1 << 19
+_STOPS = np.zeros(256, bool)
+_STOPS[list(b".!?\n")] = True
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -56,6 +58,8 @@ class Words:
     hash: np.ndarray
     start: np.ndarray
     end: np.ndarray
+    #: sentence ends (. ! ? or a line end) before each word, counted through the chunk
+    sentence: np.ndarray
 
     def doc_of(self) -> np.ndarray:
         return np.repeat(np.arange(len(self.bounds) - 1), np.diff(self.bounds))
@@ -99,7 +103,8 @@ def _words(data: np.ndarray, cuts: np.ndarray, first: int) -> Words:
         hashes = np.zeros(0, np.uint64)
     bounds = np.searchsorted(starts, cuts)
     base = np.repeat(cuts[:-1], np.diff(bounds))
-    return Words(first, bounds, hashes, starts - base, ends - base)
+    sentence = np.cumsum(_STOPS[data], dtype=np.int32)[starts]
+    return Words(first, bounds, hashes, starts - base, ends - base, sentence)
 
 
 def grams(h: np.ndarray, n: int) -> np.ndarray:
