@@ -60,6 +60,8 @@ class Words:
     end: np.ndarray
     #: sentence ends (. ! ? or a line end) before each word, counted through the chunk
     sentence: np.ndarray
+    #: hashes of the first bytes of each word, for each length asked for
+    prefixes: tuple[np.ndarray, ...] = ()
 
     def doc_of(self) -> np.ndarray:
         return np.repeat(np.arange(len(self.bounds) - 1), np.diff(self.bounds))
@@ -71,8 +73,9 @@ def normalized(texts: pa.Array) -> pa.Array:
     return pc.utf8_lower(pc.fill_null(texts.cast(pa.large_string()), ""))
 
 
-def word_chunks(lower: pa.Array) -> Iterator[Words]:
-    """Chunks of the words (runs of letters and digits) of ``normalized`` texts."""
+def word_chunks(lower: pa.Array, prefixes: tuple[int, ...] = ()) -> Iterator[Words]:
+    """Chunks of the words (runs of letters and digits) of ``normalized`` texts, with hashes of
+    their first ``prefixes`` bytes."""
     n = len(lower)
     offsets = np.frombuffer(lower.buffers()[1], dtype=np.int64)[lower.offset:lower.offset + n + 1]
     data = np.frombuffer(lower.buffers()[2], dtype=np.uint8) if lower.buffers()[2] else np.zeros(0, np.uint8)
@@ -80,11 +83,11 @@ def word_chunks(lower: pa.Array) -> Iterator[Words]:
     while lo < n:
         hi = max(lo + 1, int(np.searchsorted(offsets, offsets[lo] + CHUNK, "right")) - 1)
         cuts = offsets[lo:hi + 1] - offsets[lo]
-        yield _words(data[offsets[lo]:offsets[hi]], cuts, lo)
+        yield _words(data[offsets[lo]:offsets[hi]], cuts, lo, prefixes)
         lo = hi
 
 
-def _words(data: np.ndarray, cuts: np.ndarray, first: int) -> Words:
+def _words(data: np.ndarray, cuts: np.ndarray, first: int, lengths: tuple[int, ...]) -> Words:
     code = _CODES[data]
     is_word = code != 0
     brk = np.zeros(len(data) + 1, bool)  # a word cannot run over a document's edge
@@ -99,12 +102,15 @@ def _words(data: np.ndarray, cuts: np.ndarray, first: int) -> Words:
         powers = _powers(int((ends - starts).max()))
         code = code[starts[0]:] * powers[np.minimum(at, len(powers) - 1)]
         hashes = mix(np.add.reduceat(code, starts - starts[0]))
+        prefixes = tuple(mix(np.add.reduceat(np.where(at < k, code, np.uint64(0)), starts - starts[0]) ^ np.uint64(k))
+                         for k in lengths)
     else:
         hashes = np.zeros(0, np.uint64)
+        prefixes = (hashes,) * len(lengths)
     bounds = np.searchsorted(starts, cuts)
     base = np.repeat(cuts[:-1], np.diff(bounds))
     sentence = np.cumsum(_STOPS[data], dtype=np.int32)[starts]
-    return Words(first, bounds, hashes, starts - base, ends - base, sentence)
+    return Words(first, bounds, hashes, starts - base, ends - base, sentence, prefixes)
 
 
 def grams(h: np.ndarray, n: int) -> np.ndarray:

@@ -3,8 +3,10 @@ has a logistic score of its words, and the document's score is their noisy-or,
 ``1 - prod(1 - p)``. Only document labels are needed for training; the sentence scores
 then say which sentences offend.
 
-Sentences end at . ! ? or a line end; words are runs of letters and digits in lower case,
-hashed to ``BUCKETS`` weights.
+Sentences end at . ! ? or a line end; words are runs of letters and digits in lower case.
+A word has three features, itself and its first 4 and 5 bytes (word stems), hashed to
+``BUCKETS`` weights. Features that toxic training documents do not have clearly more often are
+left at weight 0 (``MIN_Z``).
 """
 
 from __future__ import annotations
@@ -25,18 +27,21 @@ BITS = 20
 BUCKETS = 1 << BITS
 #: Labelled documents that the classifier is fitted on, at most (chosen by a hash of the id).
 MAX_TRAIN = 12_000
-MIN_DOCS = 5
-STEPS, RATE, PENALTY = 120, 0.25, 1e-5
+MIN_DOCS, MIN_Z = 5, 3.0
+STEPS, RATE, PENALTY = 60, 0.3, 1e-5
+STEMS = (4, 5)
+FEATURES = 1 + len(STEMS)
 
 
 @dataclass
 class Model:
-    weights: np.ndarray  # float32 per bucket; 0 for words that too few training documents have
+    weights: np.ndarray  # float32 per bucket
     bias: float
 
 
 def _buckets(w: ta.Words) -> np.ndarray:
-    return (w.hash >> np.uint64(64 - BITS)).astype(np.int32)
+    """The features of each word: FEATURES rows."""
+    return np.stack([(h >> np.uint64(64 - BITS)).astype(np.int32) for h in (w.hash, *w.prefixes)])
 
 
 def _sentences(w: ta.Words) -> tuple[np.ndarray, np.ndarray]:
@@ -75,13 +80,13 @@ def fit(sample: DataFrame) -> Model:
         for batch in batches:
             labels = batch.column(1).to_pylist()
             out = []
-            for w in ta.word_chunks(ta.normalized(batch.column(0))):
+            for w in ta.word_chunks(ta.normalized(batch.column(0)), STEMS):
                 b = _buckets(w)
                 first, doc = _sentences(w)
-                lengths = np.diff(np.append(first, len(b))).astype(np.int32)
+                lengths = np.diff(np.append(first, len(w.hash))).astype(np.int32)
                 cut = np.searchsorted(doc, np.arange(len(w.bounds)))
                 for k in range(len(w.bounds) - 1):
-                    out.append((labels[w.first + k], b[w.bounds[k]:w.bounds[k + 1]].tobytes(),
+                    out.append((labels[w.first + k], b[:, w.bounds[k]:w.bounds[k + 1]].T.tobytes(),
                                 lengths[cut[k]:cut[k + 1]].tobytes()))
             yield pa.RecordBatch.from_arrays(
                 [pa.array([x[0] for x in out], pa.int32()), pa.array([x[1] for x in out], pa.binary()),
@@ -94,22 +99,28 @@ def fit(sample: DataFrame) -> Model:
 
 
 def fit_bags(label: np.ndarray, words: list[np.ndarray], lengths: list[np.ndarray]) -> Model:
+    """The same from each document's label, features (FEATURES per word) and words per sentence."""
     weights = np.zeros(BUCKETS, np.float32)
     if not len(label) or label.min() == label.max():
         return Model(weights, 20.0 if len(label) and label[0] else -20.0)
-    n = len(label)
-    docs_with = np.bincount(np.concatenate([np.unique(x) for x in words]), minlength=BUCKETS)
-    used = np.flatnonzero(docs_with >= min(MIN_DOCS, max(1, n // 50)))
+    n, share = len(label), label.mean()
+    has, toxic = np.zeros(BUCKETS, np.int64), np.zeros(BUCKETS, np.int64)
+    for x, y in zip(words, label, strict=True):
+        x = np.unique(x)
+        has[x] += 1
+        toxic[x] += int(y > 0)
+    z = (toxic - share * has) / np.sqrt(np.maximum(has * share * (1 - share), 1e-9))
+    used = np.flatnonzero((has >= min(MIN_DOCS, max(1, n // 50))) & (z >= MIN_Z))
     slot = np.full(BUCKETS, -1, np.int32)
     slot[used] = np.arange(len(used))
-    flat = slot[np.concatenate(words)]
     size = np.concatenate(lengths)
     sent_doc = np.repeat(np.arange(n), [len(x) for x in lengths])
-    sent = np.repeat(np.arange(len(size)), size)[flat >= 0]
+    flat = slot[np.concatenate(words)]
+    sent = np.repeat(np.arange(len(size)), size * FEATURES)[flat >= 0]
     flat = flat[flat >= 0]
-    # a word counts once in a sentence
-    pair = np.unique(sent.astype(np.int64) * len(used) + flat)
-    sent, flat = pair // max(1, len(used)), (pair % max(1, len(used))).astype(np.int64)
+    # a feature counts once in a sentence
+    pair = np.unique(sent.astype(np.int64) * max(1, len(used)) + flat)
+    sent, flat = pair // max(1, len(used)), pair % max(1, len(used))
     w, bias = np.zeros(len(used)), -float(np.log(max(2.0, len(size) / max(1.0, label.sum()))))
     m, v = np.zeros(len(used) + 1), np.zeros(len(used) + 1)
     for step in range(1, STEPS + 1):
@@ -135,12 +146,11 @@ def _score_chunk(w: ta.Words, model: Model) -> tuple[np.ndarray, np.ndarray, np.
     if not len(first):
         return doc, doc, np.zeros(0)
     b = _buckets(w)
-    # a word counts once in a sentence: repeats of weighted words are dropped
-    value = model.weights[b]
-    hot = np.flatnonzero(value)
-    owner = np.searchsorted(first, hot, "right") - 1
-    pair, at = np.unique(owner.astype(np.int64) << BITS | b[hot], return_index=True)
-    z = model.bias + np.bincount(pair >> BITS, weights=value[hot][at], minlength=len(first))
+    kind, word = np.nonzero(model.weights[b])
+    hot = b[kind, word].astype(np.int64)
+    owner = np.searchsorted(first, word, "right") - 1
+    pair = np.unique(owner << BITS | hot)  # a feature counts once in a sentence
+    z = model.bias + np.bincount(pair >> BITS, weights=model.weights[pair & (BUCKETS - 1)], minlength=len(first))
     return doc, first, z
 
 
@@ -151,7 +161,7 @@ def score(text: Column, model: Model, spark: SparkSession) -> Column:
     @F.arrow_udf("double")
     def run(texts: pa.Array) -> pa.Array:
         out = np.zeros(len(texts))
-        for w in ta.word_chunks(ta.normalized(texts)):
+        for w in ta.word_chunks(ta.normalized(texts), STEMS):
             doc, _, z = _score_chunk(w, shared.value)
             clean = np.bincount(doc, weights=-_softplus(z), minlength=len(w.bounds) - 1)
             out[w.first:w.first + len(clean)] = -np.expm1(clean)
@@ -169,7 +179,7 @@ def offending_sentences(docs: DataFrame, model: Model, least: float = 0.5, id_co
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             lower, out = ta.normalized(batch.column(1)), []
-            for w in ta.word_chunks(lower):
+            for w in ta.word_chunks(lower, STEMS):
                 doc, first, z = _score_chunk(w, shared.value)
                 p = 1 / (1 + np.exp(-np.clip(z, -30, 30)))
                 for s in np.flatnonzero(p >= least):
