@@ -2,18 +2,31 @@
 
 from __future__ import annotations
 
-from demandlake.llm import dac, decontam, markov_secrets, nbest, quality, simhash, toxicity
+from demandlake.llm import (
+    dac,
+    decontam,
+    licenses,
+    markov_secrets,
+    nbest,
+    quality,
+    simhash,
+    tokencounts,
+    toxicity,
+)
 
 QUERIES = {
     "op2_simhash_near_dedup": simhash.query,
     "op3_quality_rules": quality.query,
+    "op4_token_rollups": tokencounts.query,
     "op5_token_dac": dac.query,
     "op6_sentencepiece_nbest": nbest.query,
     "op7_toxicity_mil": toxicity.query,
     "op8_secret_scan": markov_secrets.query,
     "op9_decontamination": decontam.query,
+    "op10_license_scan": licenses.query,
 }
 
 SQL = {
     "op3_quality_rules": quality.SQL,
+    "op4_token_rollups": tokencounts.SQL,
 }
