@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from demandlake.llm import quality, simhash
+from demandlake.llm import decontam, markov_secrets, nbest, quality, simhash
 from demandlake.llm.shared import read_table, stage
 
 
@@ -22,7 +22,28 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return simhash.drop_near_duplicates(docs, words=3, max_distance=2)
 
 
-STAGES = [("quality_rules", quality_rules), ("near_dedup", near_dedup)]
+def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents in which a benchmark item was found go."""
+    return decontam.drop_leaks(docs, read_table(spark, sf_dir, "benchmark"))
+
+
+def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Secrets in the texts become [SECRET]; n_chars follows. All documents stay."""
+    return markov_secrets.redact_secrets(docs)
+
+
+def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Piece ids of every text (doc_id, ids, n-best scores, restored)."""
+    return nbest.encode_documents(docs)
+
+
+STAGES = [
+    ("quality_rules", quality_rules),
+    ("near_dedup", near_dedup),
+    ("decontamination", decontamination),
+    ("secret_scan", secret_scan),
+    ("sentencepiece", encode),
+]
 
 #: Alignment scores, Markov likelihoods and piece lattices have no SQL form.
 ORACLE_SQL = None
