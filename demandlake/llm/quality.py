@@ -137,13 +137,12 @@ def fit_fences(measured: DataFrame, lang_col: str = "lang", source_col: str = "s
     quart = [f"q{q}_{k}" for k in METRICS for q in (25, 75)]
     pairs = quartiles(sketch, "lang", "source")
     langs = quartiles(merge(sketch, "lang"), "lang")
-    whole = quartiles(merge(sketch.withColumn("every", F.lit(1)), "every"), "every")
-    renamed = lambda df, key, tag: df.select(
-        key, F.col("total").alias(f"total_{tag}"), *[F.col(c).alias(f"{c}_{tag}") for c in quart])
-    joined = pairs.withColumn("every", F.lit(1)).join(renamed(langs, "lang", "l"), "lang").join(
-        renamed(whole, "every", "w"), "every")
+    whole = quartiles(merge(sketch)).select(F.struct(*quart)).scalar()  # one row: a scalar subquery
+    joined = pairs.join(langs.select(
+        "lang", F.col("total").alias("total_l"), *[F.col(c).alias(f"{c}_l") for c in quart]), "lang")
+    joined = joined.withColumn("whole", whole)
     pick = lambda c: F.when(F.col("total") >= MIN_GROUP, F.col(c)).when(
-        F.col("total_l") >= MIN_GROUP, F.col(f"{c}_l")).otherwise(F.col(f"{c}_w"))
+        F.col("total_l") >= MIN_GROUP, F.col(f"{c}_l")).otherwise(F.col("whole")[c])
     out = []
     for k, (least, low) in METRICS.items():
         q1, q3 = pick(f"q25_{k}"), pick(f"q75_{k}")
