@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from demandlake.llm import (
+    chaining,
     dac,
     decontam,
     licenses,
@@ -15,6 +16,7 @@ from demandlake.llm import (
 )
 
 QUERIES = {
+    "op1_substring_chains": chaining.query,
     "op2_simhash_near_dedup": simhash.query,
     "op3_quality_rules": quality.query,
     "op4_token_rollups": tokencounts.query,
