@@ -53,12 +53,11 @@ def enrich_items(
 
     Without ``dim`` the fixed known-item dictionary is applied as a literal
     map (no join). With a ``dim`` (item_name, category,
-    preparation_complexity) table, a left join is used; it is broadcast only
-    behind a checked row bound, else shuffled."""
+    preparation_complexity) table, a left join is used; the planner broadcasts
+    it when its size in bytes allows."""
     if dim is None:
         cat, cx = items.item_features(name, "price", "shelf_life_hours", keywords)
         return df.withColumns({"category": cat, "preparation_complexity": cx})
-    from demandlake.session import sized_broadcast
 
     d = dim.select(
         F.col("item_name").alias("_dim_name"),
@@ -66,7 +65,7 @@ def enrich_items(
         F.col("preparation_complexity").cast("int").alias("_dim_cx"),
     )
     g_cat, g_cx = items.guess_item(name, "price", "shelf_life_hours", keywords)
-    joined = df.join(sized_broadcast(d), F.col(name) == F.col("_dim_name"), "left")
+    joined = df.join(d, F.col(name) == F.col("_dim_name"), "left")
     return joined.withColumns(
         {
             "category": F.coalesce("_dim_cat", g_cat),

@@ -23,7 +23,9 @@ from demandlake.schema import (
     ALERT_LATENCY_CRIT_S,
     ALERT_LATENCY_WARN_S,
     ALERT_OUTAGE_MINUTES,
+    DEGRADED_TEXT,
     DRIFT_MAPE,
+    NO_RECORDS_TEXT,
     RECENT_WINDOW,
     RETRAIN_MAPE,
     RETRAIN_WINDOW,
@@ -40,12 +42,13 @@ def score_actuals(df: DataFrame, by: Sequence[str] = ("business_type", "item_nam
                   y: str = "y_true", p: str = "y_pred", ts: str | None = None) -> DataFrame:
     """O1 + O2: accuracy-log rows (mae, mape, rmse at 2 places, r2 at 3,
     n_predictions, drift when mape > 25) for every group in one pass.
-    ``ts`` adds a log timestamp per group (its latest value)."""
+    ``ts`` adds a log timestamp per group (its latest value). r2 is rounded at 9
+    places first, so noise in the last bits cannot tip a tie."""
     keys = list(by) + ([F.date_trunc("week", ts).alias("timestamp")] if ts else [])
     out = df.groupBy(*keys).agg(*M.metric_columns(y, p)).select(
         *[k for k in by], *(["timestamp"] if ts else []),
         F.round("mae", 2).alias("mae"), F.round("mape", 2).alias("mape"),
-        F.round("rmse", 2).alias("rmse"), F.round("r2", 3).alias("r2"), "n_predictions",
+        F.round("rmse", 2).alias("rmse"), F.round(F.round("r2", 9), 3).alias("r2"), "n_predictions",
     )
     return out.withColumn("drift", F.col("mape") > DRIFT_MAPE)
 
@@ -90,7 +93,8 @@ def needs_retraining(log: DataFrame, threshold_mape: float = RETRAIN_MAPE,
 
 def accuracy_report(log: DataFrame, item_name: str | None = None, business_type: str | None = None,
                     n: int = RECENT_WINDOW) -> DataFrame:
-    """Filtered latest-n summary with degraded / meets_target flags."""
+    """Filtered latest-n summary with degraded / meets_target flags and the
+    alert text; one row also when nothing matches."""
     r = recent_performance(log, n, item_name=item_name, business_type=business_type)
     return r.select(
         F.concat(F.lit("Last "), F.col("n_entries").cast("string"), F.lit(" evaluations")).alias("period"),
@@ -98,12 +102,15 @@ def accuracy_report(log: DataFrame, item_name: str | None = None, business_type:
         (F.col("avg_mape") > DRIFT_MAPE).alias("degraded"),
         F.lit(TARGET_MAPE).alias("target_mape"),
         (F.col("avg_mape") < TARGET_MAPE).alias("meets_target"),
-    ).where(F.col("n_entries") > 0)
+        F.when(F.col("n_entries") == 0, NO_RECORDS_TEXT).when(F.col("avg_mape") > DRIFT_MAPE, DEGRADED_TEXT)
+        .alias("alert_message"),
+    )
 
 
 def rising_weeks(log: DataFrame, n: int = 3, by: Sequence[str] = ("business_type", "item_name"),
                  ts: str = "timestamp") -> DataFrame:
-    """Weeks whose mean MAPE rose for ``n`` consecutive weeks per group.
+    """Weeks whose mean MAPE rose for ``n`` consecutive calendar weeks per
+    group (a missing week ends the run).
 
     Weekly means are one row per (group, week); the lag window runs over
     that calendar-bounded table."""
@@ -114,17 +121,18 @@ def rising_weeks(log: DataFrame, n: int = 3, by: Sequence[str] = ("business_type
     for k in range(n):
         cur = F.col("weekly_mape") if k == 0 else F.lag("weekly_mape", k).over(w)
         prev = F.lag("weekly_mape", k + 1).over(w)
-        cond = cond & F.coalesce(cur > prev, F.lit(False))
+        next_to = F.datediff("week", F.lag("week", k + 1).over(w)) == 7 * (k + 1)
+        cond = cond & F.coalesce((cur > prev) & next_to, F.lit(False))
     return weekly.withColumn("rising", cond).where("rising").drop("rising")
 
 
 def request_metrics(log: DataFrame) -> DataFrame:
-    """Per endpoint request count, mean latency, error and fallback
-    rates, with alert flags."""
+    """Per endpoint request count, mean latency, error (4xx and 5xx) and
+    fallback rates, with alert flags."""
     out = log.groupBy("endpoint").agg(
         F.count(F.lit(1)).cast("bigint").alias("n_requests"),
         F.avg("latency_s").alias("mean_latency_s"),
-        (F.count_if(F.col("status") >= 500) / F.count(F.lit(1))).alias("error_rate"),
+        (F.count_if(F.col("status") >= 400) / F.count(F.lit(1))).alias("error_rate"),
         (F.count_if(F.col("fallback")) / F.count(F.lit(1))).alias("fallback_rate"),
     )
     return out.withColumns({
@@ -159,20 +167,23 @@ def failure_islands(log: DataFrame, failed: str = "failed", ts: str = "ts", tie:
         "_seq": F.row_number().over(wb),
         "_size": F.count(F.lit(1)).over(Window.partitionBy("_bucket")),
     })
-    pieces = ev.where("_bad").groupBy("_bucket", "_good_before").agg(
+    # One aggregate gives the failed pieces and, under a null label, one row per
+    # bucket that holds good events: edges and buckets come from the same exchange.
+    label = F.when(F.col("_bad"), F.col("_good_before"))
+    pieces = ev.groupBy("_bucket", label.alias("_good_before")).agg(
         F.min(F.struct("_ts", "_tie")).alias("_first"), F.max(F.struct("_ts", "_tie")).alias("_last"),
         F.count(F.lit(1)).cast("bigint").alias("n_events"),
         F.min("_seq").alias("_min_seq"), F.max("_seq").alias("_max_seq"), F.first("_size").alias("_size"),
     ).withColumns({
+        "_failed": F.col("_good_before").isNotNull(),
         "_at_start": F.col("_min_seq") == 1,
         "_at_end": F.col("_max_seq") == F.col("_size"),
     })
-    interior = pieces.where(~F.col("_at_start") & ~F.col("_at_end"))
-    edge = pieces.where(F.col("_at_start") | F.col("_at_end"))
-    # Rank of each non-empty bucket (at most n_ranges rows).
-    buckets = ev.select("_bucket").distinct().withColumn(
-        "_brank", F.row_number().over(Window.orderBy("_bucket")))
-    edge = edge.join(buckets, "_bucket")
+    touches = F.col("_at_start") | F.col("_at_end")
+    interior = pieces.where(F.col("_failed") & ~touches)
+    # Rank of each non-empty bucket, over at most three rows per bucket.
+    edge = pieces.where(~F.col("_failed") | touches).withColumn(
+        "_brank", F.dense_rank().over(Window.orderBy("_bucket"))).where("_failed")
     we = Window.orderBy("_brank", "_first")
     prev_end = F.lag("_at_end").over(we)
     prev_rank = F.lag("_brank").over(we)

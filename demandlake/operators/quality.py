@@ -22,6 +22,8 @@ from demandlake.schema import (
     WEATHER_VALUES,
 )
 
+#: column of unreadable cells that ``sources.sales.read_sales`` can add
+BAD_CELLS = "bad_cells"
 QUANTITY_COLS = ["quantity_available", "quantity_sold", "customer_demand", "waste_quantity"]
 
 
@@ -29,6 +31,10 @@ def _has(df: DataFrame, *cols: str) -> bool:
     return all(c in df.columns for c in cols)
 
 
+#: pseudo rule that carries row count and date range to the summary
+TOTALS = "_totals"
+
+
 def missing_columns(df: DataFrame, required: Sequence[str]) -> list[str]:
     """Required columns absent from the schema (metadata only)."""
     return [c for c in required if c not in df.columns]
@@ -53,8 +59,13 @@ def sales_row_rules(df: DataFrame, date_col: str = "date") -> list[tuple[str, st
     c = F.col
     rules: list[tuple[str, str, Column]] = []
     if _has(df, date_col):
-        rules.append(("date_unparseable", "issue", c(date_col).isNotNull() & parse_date(date_col).isNull()))
-    rules.append(("has_null", "issue", any_null(df.columns)))
+        bad_date = c(date_col).isNotNull() & parse_date(date_col).isNull()
+        if _has(df, BAD_CELLS):
+            bad_date = bad_date | F.array_contains(BAD_CELLS, date_col)
+        rules.append(("date_unparseable", "issue", bad_date))
+    if _has(df, BAD_CELLS):
+        rules.append(("cell_unreadable", "issue", F.exists(BAD_CELLS, lambda x: x != date_col)))
+    rules.append(("has_null", "issue", any_null([x for x in df.columns if x != BAD_CELLS])))
     for q in QUANTITY_COLS:
         if _has(df, q):
             rules.append((f"negative_{q}", "issue", F.coalesce(c(q) < 0, F.lit(False))))
@@ -65,7 +76,8 @@ def sales_row_rules(df: DataFrame, date_col: str = "date") -> list[tuple[str, st
         rules.append(("sold_gt_demand", "issue",
                       F.coalesce(c("quantity_sold") > c("customer_demand"), F.lit(False))))
     if _has(df, "waste_quantity", "quantity_available", "quantity_sold"):
-        calc = F.greatest(c("quantity_available") - c("quantity_sold"), F.lit(0))
+        left = c("quantity_available") - c("quantity_sold")
+        calc = F.when(left.isNotNull(), F.greatest(left, F.lit(0)))  # greatest alone would skip a null
         # A null on either side counts as wrong (NaN != NaN).
         rules.append(("waste_mismatch", "issue",
                       c("waste_quantity").isNull() | calc.isNull() | (c("waste_quantity") != calc)))
@@ -82,9 +94,10 @@ def sales_row_rules(df: DataFrame, date_col: str = "date") -> list[tuple[str, st
 
 
 def quality_checks(df: DataFrame, dup_keys: Sequence[str] = ("date", "item_name"),
-                   date_col: str = "date") -> DataFrame:
+                   date_col: str = "date", with_totals: bool = False) -> DataFrame:
     """Q1-Q11 as a long table (rule, level, n_failed), one aggregation pass
-    for the row rules plus one grouped aggregate for duplicates."""
+    for the row rules plus one grouped aggregate for duplicates. ``with_totals``
+    adds the row ``TOTALS`` (level: date range, n_failed: row count)."""
     spark = df.sparkSession
     rules = sales_row_rules(df, date_col)
     aggs = [F.count_if(pred).cast("bigint").alias(f"r{i}") for i, (_, _, pred) in enumerate(rules)]
@@ -111,7 +124,13 @@ def quality_checks(df: DataFrame, dup_keys: Sequence[str] = ("date", "item_name"
                 .select(F.lit("duplicate_keys").alias("rule"), F.lit("issue").alias("level"), "n_failed"))
         long = long.unionByName(dups)
     meta = spark.createDataFrame(extra, "rule string, level string, n_failed bigint")
-    return long.unionByName(meta)
+    out = long.unionByName(meta)
+    if not with_totals:
+        return out
+    span = (F.concat_ws(" to ", F.col("_dmin").cast("string"), F.col("_dmax").cast("string"))
+            if _has(df, date_col, "item_name") else F.lit(""))
+    totals = one.select(F.lit(TOTALS).alias("rule"), span.alias("level"), F.col("_rows").alias("n_failed"))
+    return out.unionByName(totals)
 
 
 @dataclass
@@ -124,21 +143,21 @@ class QualityResult:
 def quality_summary(df: DataFrame, name: str, checks: DataFrame | None = None,
                     date_col: str = "date") -> DataFrame:
     """One row (dataset, valid, n_issues, n_warnings, total_rows,
-    date_range, issues) built from the checks table."""
-    checks = checks if checks is not None else quality_checks(df, date_col=date_col)
-    failed = checks.where(F.col("n_failed") > 0)
-    s = failed.agg(
-        F.count_if(F.col("level") == "issue").cast("bigint").alias("n_issues"),
-        F.count_if(F.col("level") == "warning").cast("bigint").alias("n_warnings"),
-        F.array_sort(F.collect_list(F.concat_ws(": ", "rule", F.col("n_failed").cast("string")))).alias("issues"),
+    date_range, issues) built from the checks table (one with totals)."""
+    checks = checks if checks is not None else quality_checks(df, date_col=date_col, with_totals=True)
+    total = F.col("rule") == TOTALS
+    failed = ~total & (F.col("n_failed") > 0)
+    s = checks.agg(
+        F.count_if(failed & (F.col("level") == "issue")).cast("bigint").alias("n_issues"),
+        F.count_if(failed & (F.col("level") == "warning")).cast("bigint").alias("n_warnings"),
+        F.max(F.when(total, F.col("n_failed"))).alias("total_rows"),
+        F.max(F.when(total, F.col("level"))).alias("date_range"),
+        F.array_sort(F.collect_list(F.when(failed, F.concat_ws(": ", "rule", F.col("n_failed").cast("string"))))
+                     ).alias("issues"),
     )
-    d = parse_date(date_col) if date_col in df.columns else F.lit(None).cast("date")
-    total_rows = df.agg(F.count(F.lit(1)).cast("bigint")).scalar()
-    date_range = df.agg(F.concat_ws(" to ", F.min(d).cast("string"), F.max(d).cast("string"))).scalar()
     return s.select(
         F.lit(name).alias("dataset"), (F.col("n_issues") == 0).alias("valid"),
-        "n_issues", "n_warnings", total_rows.alias("total_rows"), date_range.alias("date_range"),
-        F.array_join("issues", "; ").alias("issues"))
+        "n_issues", "n_warnings", "total_rows", "date_range", F.array_join("issues", "; ").alias("issues"))
 
 
 def row_reasons(df: DataFrame, rules: list[tuple[str, str, Column]]) -> DataFrame:
@@ -149,8 +168,8 @@ def row_reasons(df: DataFrame, rules: list[tuple[str, str, Column]]) -> DataFram
 
 def check_sales(df: DataFrame, name: str = "sales") -> QualityResult:
     """Q1-Q12 together: summary row, checks table, rows with reasons."""
-    checks = quality_checks(df)
-    return QualityResult(quality_summary(df, name, checks), checks,
+    checks = quality_checks(df, with_totals=True)
+    return QualityResult(quality_summary(df, name, checks), checks.where(F.col("rule") != TOTALS),
                          row_reasons(df, sales_row_rules(df)))
 
 
@@ -174,7 +193,8 @@ def upload_rules(df: DataFrame) -> list[tuple[str, str, Column]]:
 
 
 def check_upload(df: DataFrame, strict: bool = False) -> DataFrame:
-    """One row (valid, n_errors, n_warnings, rows, columns, errors).
+    """One row (valid, n_errors, n_warnings, rows, columns, errors,
+    warnings); the warnings name each column with nulls and their number.
 
     ``strict=True`` also requires every column retraining reads."""
     required = list(REQUIRED_UPLOAD_COLUMNS) + ([c for c in REQUIRED_SALES_COLUMNS if c not in REQUIRED_UPLOAD_COLUMNS]
@@ -182,10 +202,12 @@ def check_upload(df: DataFrame, strict: bool = False) -> DataFrame:
     missing = missing_columns(df, required)
     rules = upload_rules(df)
     one = df.agg(F.count(F.lit(1)).cast("bigint").alias("rows"),
-                 *[F.count_if(p).cast("bigint").alias(f"u{i}") for i, (_, _, p) in enumerate(rules)])
+                 *[F.count_if(p).cast("bigint").alias(f"u{i}") for i, (_, _, p) in enumerate(rules)],
+                 *[F.count_if(F.col(f"`{x}`").isNull()).cast("bigint").alias(f"n{i}") for i, x in enumerate(df.columns)])
     errs = [F.when(F.col(f"u{i}") > 0, F.concat(F.lit(f"{n}: "), F.col(f"u{i}").cast("string")))
             for i, (n, lv, _) in enumerate(rules) if lv == "error"]
-    warns = [F.when(F.col(f"u{i}") > 0, F.lit(n)) for i, (n, lv, _) in enumerate(rules) if lv == "warning"]
+    warns = [F.when(F.col(f"n{i}") > 0, F.concat(F.lit(f"nulls in {x}: "), F.col(f"n{i}").cast("string")))
+             for i, x in enumerate(df.columns)]
     if missing:
         errs.insert(0, F.lit("missing_columns: " + ",".join(missing)))
     err_arr = F.array_compact(F.array(*errs)) if errs else F.array().cast("array<string>")
@@ -197,6 +219,7 @@ def check_upload(df: DataFrame, strict: bool = False) -> DataFrame:
         "rows",
         F.lit(",".join(df.columns)).alias("columns"),
         F.array_join(err_arr, "; ").alias("errors"),
+        F.array_join(warn_arr, "; ").alias("warnings"),
     )
 
 
@@ -270,6 +293,12 @@ def plan_rules(df: DataFrame, pred: str = "predicted_demand", planned: str = "pl
     ]
 
 
+def validate_plans(df: DataFrame, pred: str = "predicted_demand",
+                   planned: str = "planned_quantity") -> tuple[DataFrame, DataFrame]:
+    """Plan requests as (valid, rejected with reasons)."""
+    return split_valid(df, plan_rules(df, pred, planned))
+
+
 def validate_requests(df: DataFrame) -> tuple[DataFrame, DataFrame]:
     """R1-R5 over a week-request table: (valid with trimmed item_name,
     rejected with reasons)."""

@@ -40,10 +40,9 @@ def business_tail(history: DataFrame, n: int = 30, business: str = "business_typ
     w = Window.partitionBy(business).orderBy(F.col(date).desc()).rowsBetween(Window.unboundedPreceding, -1)
     before = per_day.withColumn("_before", F.coalesce(F.sum("_n").over(w), F.lit(0)))
     needed = before.where(F.col("_before") < n).groupBy(business).agg(F.min(date).alias("_from"))
-    from demandlake.session import sized_broadcast
 
-    # ``needed`` has one row per business: broadcast behind a row check.
-    recent = history.join(sized_broadcast(needed), business).where(F.col(date) >= F.col("_from")).drop("_from")
+    # ``needed`` has one row per business: the planner broadcasts it by its size.
+    recent = history.join(needed, business).where(F.col(date) >= F.col("_from")).drop("_from")
     wr = Window.partitionBy(business).orderBy(F.col(date).desc(), F.col(tie).desc())
     return recent.withColumn("_brank", F.row_number().over(wr)).where(F.col("_brank") <= n).drop("_brank")
 

@@ -5,7 +5,8 @@ from __future__ import annotations
 from demandlake.operators import eda
 from demandlake.plans.registry import register
 from demandlake.sources import testdata as td
-from demandlake.sources.testdata import SALES_SQL, with_sql
+from demandlake.sources.sales import type_sales
+from demandlake.sources.testdata import RAW_SALES_SQL, SALES_SQL, with_sql
 
 S = with_sql(SALES_SQL)
 
@@ -72,25 +73,26 @@ def eda_items_per_business(spark, sf_dir):
 @register(
     "eda_null_counts",
     "column:s, n_null:i",
-    S + _unpivot_sql(_SALES_COLS, lambda c: f"SELECT '{c[0]}' AS \"column\", count(*) - count({c[0]}) AS n_null FROM sales"),
+    with_sql(SALES_SQL, RAW_SALES_SQL) + _unpivot_sql(
+        _SALES_COLS, lambda c: f"SELECT '{c[0]}' AS \"column\", count(*) - count({c[0]}) AS n_null FROM dirty"),
 )
 def eda_null_counts(spark, sf_dir):
     """A5: null count per column."""
-    return eda.null_counts(_sales(spark, sf_dir))
+    return eda.null_counts(type_sales(td.raw_sales(_sales(spark, sf_dir))))
 
 
 @register(
     "eda_violations",
     "negative_sold:i, negative_available:i, sold_gt_available:i, sold_gt_demand:i",
-    S + """SELECT count(*) FILTER (WHERE quantity_sold < 0) AS negative_sold,
+    with_sql(SALES_SQL, RAW_SALES_SQL) + """SELECT count(*) FILTER (WHERE quantity_sold < 0) AS negative_sold,
                   count(*) FILTER (WHERE quantity_available < 0) AS negative_available,
                   count(*) FILTER (WHERE quantity_sold > quantity_available) AS sold_gt_available,
                   count(*) FILTER (WHERE quantity_sold > customer_demand) AS sold_gt_demand
-           FROM sales""",
+           FROM dirty""",
 )
 def eda_violations(spark, sf_dir):
     """Rule-violation counts."""
-    return eda.violations(_sales(spark, sf_dir))
+    return eda.violations(type_sales(td.raw_sales(_sales(spark, sf_dir))))
 
 
 @register(

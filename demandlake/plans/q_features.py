@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from demandlake.functions.items import item_features
 from demandlake.operators import features as fe
 from demandlake.operators import windows as wn
 from demandlake.plans.registry import register
@@ -91,14 +92,11 @@ _cat_nk, _cx_nk = item_sql(keywords=False)
                FROM menu) m""",
 )
 def features_items(spark, sf_dir):
-    """P6-P8 over menu items derived from ``part`` (unknown names, so the
-    shelf-life/price/keyword guess is exercised), with and without the
-    keyword stage (P7b)."""
-    from demandlake.functions.items import guess_item
-
+    """P6-P8 over menu items derived from ``part`` (known names, names with a
+    keyword and others), with and without the keyword stage (P7b)."""
     menu = td.menu_items(td.table(spark, sf_dir, "part"))
     df = fe.encode_labels(fe.enrich_items(menu))
-    cat, cx = guess_item("item_name", "price", "shelf_life_hours", keywords=False)
+    cat, cx = item_features("item_name", "price", "shelf_life_hours", keywords=False)
     return df.withColumns({"category_no_keywords": cat, "complexity_no_keywords": cx})
 
 

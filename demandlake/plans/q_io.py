@@ -6,12 +6,12 @@ the cluster names), each run in a fresh sub-folder."""
 from __future__ import annotations
 
 import os
-import uuid
 
 from pyspark.sql import functions as F
 
+from demandlake.operators import windows as wn
 from demandlake.plans.registry import register
-from demandlake.session import ensure_checkpoint_dir
+from demandlake.session import work_dir
 from demandlake.sources import sales as io
 from demandlake.sources import testdata as td
 from demandlake.sources.testdata import NAIVE_SQL, SALES_SQL, with_sql
@@ -21,7 +21,7 @@ SALES_COLS = ("business_type:s, item_name:s, date:t, price:d, shelf_life_hours:d
 
 
 def _scratch(spark, name: str) -> str:
-    return os.path.join(ensure_checkpoint_dir(spark), f"{name}-{uuid.uuid4().hex[:8]}")
+    return work_dir(spark, name)
 
 
 @register("sales_csv_roundtrip", SALES_COLS, with_sql(SALES_SQL) + "SELECT * FROM sales")
@@ -31,10 +31,23 @@ def sales_csv_roundtrip(spark, sf_dir):
     concatenated by column name."""
     base = _scratch(spark, "csv")
     sales = td.load_sales(spark, sf_dir)
-    rest, other = os.path.join(base, "restaurant"), os.path.join(base, "cafe_bakery")
-    sales.where(F.col("business_type") == "Restaurant").write.option("header", True).csv(rest)
-    sales.where(F.col("business_type") != "Restaurant").write.option("header", True).csv(other)
-    return io.union_sales(io.read_sales(spark, rest), io.read_sales(spark, other))
+    # one pass writes both datasets; each keeps its business column in the files
+    half = F.when(F.col("business_type") == "Restaurant", "restaurant").otherwise("cafe_bakery")
+    sales.withColumn("dataset", half).write.partitionBy("dataset").option("header", True).csv(base)
+    parts = [os.path.join(base, f"dataset={d}") for d in ("restaurant", "cafe_bakery")]
+    return io.union_sales(*(io.read_sales(spark, p) for p in parts))
+
+
+@register("sales_preview", SALES_COLS, with_sql(SALES_SQL) + "SELECT * FROM sales ORDER BY business_type, item_name, date LIMIT 20")
+def sales_preview(spark, sf_dir):
+    """The first 20 rows in series order."""
+    return io.preview(td.load_sales(spark, sf_dir), 20)
+
+
+@register("sales_sorted", SALES_COLS, with_sql(SALES_SQL) + "SELECT * FROM sales ORDER BY business_type, item_name, date")
+def sales_sorted(spark, sf_dir):
+    """the sales table in series and date order."""
+    return wn.sort_series(td.load_sales(spark, sf_dir))
 
 
 @register("history_partition_read", SALES_COLS,
@@ -52,18 +65,18 @@ def history_partition_read(spark, sf_dir):
     with_sql(SALES_SQL, NAIVE_SQL) + """SELECT business_type, item_name, round(avg(abs(y_true - y_pred)), 2) AS mae,
        round(avg(abs(y_true - y_pred) / greatest(abs(y_true), 2.220446049250313e-16)) * 100.0, 2) AS mape,
        round(sqrt(avg((y_true - y_pred) * (y_true - y_pred))), 2) AS rmse,
-       round(CASE WHEN sum(y_true * y_true) - sum(y_true) * sum(y_true) / count(y_true) = 0
+       CAST(round(CAST(CASE WHEN var_pop(y_true) * count(y_true) = 0
             THEN CASE WHEN sum((y_true - y_pred) * (y_true - y_pred)) = 0 THEN 1.0 ELSE 0.0 END
-            ELSE 1.0 - sum((y_true - y_pred) * (y_true - y_pred)) / (sum(y_true * y_true) - sum(y_true) * sum(y_true) / count(y_true)) END, 3) AS r2,
+            ELSE 1.0 - sum((y_true - y_pred) * (y_true - y_pred)) / (var_pop(y_true) * count(y_true)) END AS DECIMAL(38, 9)), 3) AS DOUBLE) AS r2,
        count(y_true) AS n_predictions
 FROM naive WHERE business_type <> 'Bakery' GROUP BY 1, 2
 UNION ALL
 SELECT business_type, item_name, round(avg(abs(y_true - y_pred)), 2),
        round(avg(abs(y_true - y_pred) / greatest(abs(y_true), 2.220446049250313e-16)) * 100.0, 2),
        round(sqrt(avg((y_true - y_pred) * (y_true - y_pred))), 2),
-       round(CASE WHEN sum(y_true * y_true) - sum(y_true) * sum(y_true) / count(y_true) = 0
+       CAST(round(CAST(CASE WHEN var_pop(y_true) * count(y_true) = 0
             THEN CASE WHEN sum((y_true - y_pred) * (y_true - y_pred)) = 0 THEN 1.0 ELSE 0.0 END
-            ELSE 1.0 - sum((y_true - y_pred) * (y_true - y_pred)) / (sum(y_true * y_true) - sum(y_true) * sum(y_true) / count(y_true)) END, 3),
+            ELSE 1.0 - sum((y_true - y_pred) * (y_true - y_pred)) / (var_pop(y_true) * count(y_true)) END AS DECIMAL(38, 9)), 3) AS DOUBLE),
        count(y_true)
 FROM naive WHERE business_type = 'Bakery' GROUP BY 1, 2""",
 )

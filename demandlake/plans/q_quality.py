@@ -7,7 +7,17 @@ from pyspark.sql import functions as F
 from demandlake.operators import quality as qa
 from demandlake.plans.registry import register
 from demandlake.sources import testdata as td
-from demandlake.sources.testdata import DAY_REQUESTS_SQL, REQUESTS_SQL, SALES_SQL, UPLOADS_SQL, with_sql
+from demandlake.sources.sales import type_sales
+from demandlake.sources.testdata import (
+    DAY_REQUESTS_SQL,
+    NAIVE_SQL,
+    PLANS_SQL,
+    RAW_SALES_SQL,
+    REQUESTS_SQL,
+    SALES_SQL,
+    UPLOADS_SQL,
+    with_sql,
+)
 
 _ALL = ["business_type", "item_name", "date", "price", "shelf_life_hours", "quantity_available", "quantity_sold",
         "customer_demand", "waste_quantity", "weather_condition", "holiday_flag"]
@@ -15,70 +25,77 @@ _ANY_NULL = " OR ".join(f"{c} IS NULL" for c in _ALL)
 
 _CHECKS_BODY = f"""
 SELECT 'date_unparseable' AS rule, 'issue' AS level,
-       count(*) FILTER (WHERE date IS NOT NULL AND try_strptime(CAST(date AS VARCHAR), '%Y-%m-%d') IS NULL) AS n_failed FROM sales
-UNION ALL SELECT 'has_null', 'issue', count(*) FILTER (WHERE {_ANY_NULL}) FROM sales
-UNION ALL SELECT 'negative_quantity_available', 'issue', count(*) FILTER (WHERE quantity_available < 0) FROM sales
-UNION ALL SELECT 'negative_quantity_sold', 'issue', count(*) FILTER (WHERE quantity_sold < 0) FROM sales
-UNION ALL SELECT 'negative_customer_demand', 'issue', count(*) FILTER (WHERE customer_demand < 0) FROM sales
-UNION ALL SELECT 'negative_waste_quantity', 'issue', count(*) FILTER (WHERE waste_quantity < 0) FROM sales
-UNION ALL SELECT 'sold_gt_available', 'issue', count(*) FILTER (WHERE quantity_sold > quantity_available) FROM sales
-UNION ALL SELECT 'sold_gt_demand', 'issue', count(*) FILTER (WHERE quantity_sold > customer_demand) FROM sales
+       count(*) FILTER (WHERE bad_date) AS n_failed FROM dirty
+UNION ALL SELECT 'cell_unreadable', 'issue', count(*) FILTER (WHERE bad_cell) FROM dirty
+UNION ALL SELECT 'has_null', 'issue', count(*) FILTER (WHERE {_ANY_NULL}) FROM dirty
+UNION ALL SELECT 'negative_quantity_available', 'issue', count(*) FILTER (WHERE quantity_available < 0) FROM dirty
+UNION ALL SELECT 'negative_quantity_sold', 'issue', count(*) FILTER (WHERE quantity_sold < 0) FROM dirty
+UNION ALL SELECT 'negative_customer_demand', 'issue', count(*) FILTER (WHERE customer_demand < 0) FROM dirty
+UNION ALL SELECT 'negative_waste_quantity', 'issue', count(*) FILTER (WHERE waste_quantity < 0) FROM dirty
+UNION ALL SELECT 'sold_gt_available', 'issue', count(*) FILTER (WHERE quantity_sold > quantity_available) FROM dirty
+UNION ALL SELECT 'sold_gt_demand', 'issue', count(*) FILTER (WHERE quantity_sold > customer_demand) FROM dirty
 UNION ALL SELECT 'waste_mismatch', 'issue',
        count(*) FILTER (WHERE waste_quantity IS NULL OR quantity_available IS NULL OR quantity_sold IS NULL
-                        OR waste_quantity <> greatest(quantity_available - quantity_sold, 0)) FROM sales
-UNION ALL SELECT 'price_not_positive', 'issue', count(*) FILTER (WHERE price <= 0) FROM sales
-UNION ALL SELECT 'shelf_life_negative', 'issue', count(*) FILTER (WHERE shelf_life_hours < 0) FROM sales
+                        OR waste_quantity <> greatest(quantity_available - quantity_sold, 0)) FROM dirty
+UNION ALL SELECT 'price_not_positive', 'issue', count(*) FILTER (WHERE price <= 0) FROM dirty
+UNION ALL SELECT 'shelf_life_negative', 'issue', count(*) FILTER (WHERE shelf_life_hours < 0) FROM dirty
 UNION ALL SELECT 'weather_invalid', 'issue',
-       count(*) FILTER (WHERE NOT coalesce(weather_condition IN ('Clear', 'Rainy'), false)) FROM sales
-UNION ALL SELECT 'holiday_invalid', 'issue', count(*) FILTER (WHERE NOT coalesce(holiday_flag IN (0, 1), false)) FROM sales
+       count(*) FILTER (WHERE NOT coalesce(weather_condition IN ('Clear', 'Rainy'), false)) FROM dirty
+UNION ALL SELECT 'holiday_invalid', 'issue', count(*) FILTER (WHERE NOT coalesce(holiday_flag IN (0, 1), false)) FROM dirty
 UNION ALL SELECT 'continuity', 'warning',
-       abs((date_diff('day', min(date), max(date)) + 1) * count(DISTINCT item_name) - count(*)) FROM sales
+       abs((date_diff('day', min(date), max(date)) + 1) * count(DISTINCT item_name) - count(*)) FROM dirty
 UNION ALL SELECT 'duplicate_keys', 'issue', coalesce(sum(n), 0)
-       FROM (SELECT count(*) AS n FROM sales GROUP BY date, item_name HAVING count(*) > 1) d
+       FROM (SELECT count(*) AS n FROM dirty GROUP BY date, item_name HAVING count(*) > 1) d
 UNION ALL SELECT 'missing_columns', 'issue', 0
 """
-_CHECKS_SQL = with_sql(SALES_SQL) + _CHECKS_BODY
+_CHECKS_SQL = with_sql(SALES_SQL, RAW_SALES_SQL) + _CHECKS_BODY
+
+
+def _read(spark, sf_dir):
+    """The dirty export as ``read_sales`` would type it, bad cells named."""
+    return type_sales(td.raw_sales(td.load_sales(spark, sf_dir)), qa.BAD_CELLS)
 
 
 @register("quality_sales_checks", "rule:s, level:s, n_failed:i", _CHECKS_SQL)
 def quality_sales_checks(spark, sf_dir):
     """Q1-Q11: failures per rule over the daily sales table (duplicates on
     (date, item_name) without the business, as the reference checks)."""
-    return qa.quality_checks(td.load_sales(spark, sf_dir))
+    return qa.quality_checks(_read(spark, sf_dir))
 
 
 @register(
     "quality_sales_summary",
     "dataset:s, valid:b, n_issues:i, n_warnings:i, total_rows:i, date_range:s, issues:s",
-    with_sql(SALES_SQL) + f""", checks AS (
+    with_sql(SALES_SQL, RAW_SALES_SQL) + f""", checks AS (
 {_CHECKS_BODY}
 )
 SELECT 'sales' AS dataset,
        count(*) FILTER (WHERE level = 'issue' AND n_failed > 0) = 0 AS valid,
        count(*) FILTER (WHERE level = 'issue' AND n_failed > 0) AS n_issues,
        count(*) FILTER (WHERE level = 'warning' AND n_failed > 0) AS n_warnings,
-       (SELECT count(*) FROM sales) AS total_rows,
-       (SELECT CAST(min(date) AS VARCHAR) || ' to ' || CAST(max(date) AS VARCHAR) FROM sales) AS date_range,
+       (SELECT count(*) FROM dirty) AS total_rows,
+       (SELECT CAST(min(date) AS VARCHAR) || ' to ' || CAST(max(date) AS VARCHAR) FROM dirty) AS date_range,
        coalesce(array_to_string(list_sort(list(rule || ': ' || CAST(n_failed AS VARCHAR)) FILTER (WHERE n_failed > 0)), '; '), '') AS issues
 FROM checks""",
 )
 def quality_sales_summary(spark, sf_dir):
     """The one-row quality report of the sales table."""
-    return qa.check_sales(td.load_sales(spark, sf_dir), "sales").summary
+    return qa.check_sales(_read(spark, sf_dir), "sales").summary
 
 
 @register(
     "quality_upload",
-    "valid:b, n_errors:i, n_warnings:i, rows:i, columns:s, errors:s",
+    "valid:b, n_errors:i, n_warnings:i, rows:i, columns:s, errors:s, warnings:s",
     with_sql(UPLOADS_SQL) + """, c AS (
   SELECT count(*) AS rows,
          count(*) FILTER (WHERE date IS NOT NULL AND try_strptime(trim(date), '%Y-%m-%d') IS NULL) AS u0,
          count(*) FILTER (WHERE quantity_sold < 0) AS u1,
          count(*) FILTER (WHERE quantity_sold > quantity_available) AS u2,
-         count(*) FILTER (WHERE date IS NULL OR item_name IS NULL OR quantity_sold IS NULL OR quantity_available IS NULL) AS u3
+         count(*) FILTER (WHERE item_name IS NULL) AS u3
   FROM uploads)
 SELECT len(e) = 0 AS valid, len(e) AS n_errors, CASE WHEN u3 > 0 THEN 1 ELSE 0 END AS n_warnings, rows,
-       'date,item_name,quantity_sold,quantity_available' AS columns, array_to_string(e, '; ') AS errors
+       'date,item_name,quantity_sold,quantity_available' AS columns, array_to_string(e, '; ') AS errors,
+       CASE WHEN u3 > 0 THEN 'nulls in item_name: ' || u3 ELSE '' END AS warnings
 FROM (SELECT *, list_filter([CASE WHEN u0 > 0 THEN 'date_invalid: ' || u0 END,
                              CASE WHEN u1 > 0 THEN 'negative_quantity_sold: ' || u1 END,
                              CASE WHEN u2 > 0 THEN 'sold_gt_available: ' || u2 END], lambda x: x IS NOT NULL) AS e FROM c) z""",
@@ -155,3 +172,45 @@ def day_requests_rejected(spark, sf_dir):
     (weather defaults to 'Clear', holiday flag to 0)."""
     _, bad = qa.validate_day_requests(td.day_requests(td.table(spark, sf_dir, "part")))
     return bad.withColumn("reasons", F.array_join("reasons", ","))
+
+
+@register(
+    "quality_missing_column",
+    "rule:s, n_failed:i",
+    with_sql(SALES_SQL) + "SELECT 'missing_columns' AS rule, 2 AS n_failed WHERE (SELECT count(*) FROM sales) >= 0",
+)
+def quality_missing_column(spark, sf_dir):
+    """Q1: a sales table without price and weather."""
+    checks = qa.quality_checks(td.load_sales(spark, sf_dir).drop("price", "weather_condition"))
+    return checks.where(F.col("rule") == "missing_columns")
+
+
+@register(
+    "upload_missing_column",
+    "valid:b, rows:i, errors:s",
+    with_sql(UPLOADS_SQL) + """SELECT false AS valid, count(*) AS rows, array_to_string(list_filter([
+  'missing_columns: quantity_sold',
+  CASE WHEN count(*) FILTER (WHERE date IS NOT NULL AND try_strptime(trim(date), '%Y-%m-%d') IS NULL) > 0 THEN 'date_invalid: '
+    || count(*) FILTER (WHERE date IS NOT NULL AND try_strptime(trim(date), '%Y-%m-%d') IS NULL) END], lambda x: x IS NOT NULL),
+  '; ') AS errors FROM uploads""",
+)
+def upload_missing_column(spark, sf_dir):
+    """An upload without a required column."""
+    up = td.uploads(td.table(spark, sf_dir, "lineitem"), td.table(spark, sf_dir, "part"))
+    return qa.check_upload(up.drop("quantity_sold"))
+
+
+_SIGNED = "CAST(planned_quantity - 60 AS BIGINT) AS planned_quantity"
+
+
+@register(
+    "plan_requests_rejected",
+    "business_type:s, item_name:s, date:t, predicted_demand:i, planned_quantity:i, reasons:s",
+    with_sql(SALES_SQL, NAIVE_SQL, PLANS_SQL) + f"""SELECT business_type, item_name, date, predicted_demand, planned_quantity,
+       'planned_quantity_negative' AS reasons FROM (SELECT * REPLACE ({_SIGNED}) FROM plans) p WHERE planned_quantity < 0""",
+)
+def plan_requests_rejected(spark, sf_dir):
+    """Plans reduced by 60 units; the negative ones are rejected."""
+    plans = td.plans(td.load_sales(spark, sf_dir)).withColumn("planned_quantity", F.col("planned_quantity") - 60)
+    _, bad = qa.validate_plans(plans)
+    return bad.withColumn("reasons", F.array_join("reasons", ","))

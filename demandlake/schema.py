@@ -205,6 +205,10 @@ RECOMMEND_TEXT = {
     "MAINTAIN": "Current plan is within the optimal range.",
 }
 
+# Accuracy report texts.
+DEGRADED_TEXT = "Model accuracy degraded - consider retraining."
+NO_RECORDS_TEXT = "No matching records found."
+
 # Monitoring thresholds.
 DRIFT_MAPE = 25.0
 TARGET_MAPE = 20.0

@@ -1,13 +1,13 @@
-"""Session helpers: local sessions for tests/bench, checkpoint folder, and a
-broadcast that is only applied behind a proven row bound."""
+"""Session helpers: local sessions for tests/bench, the checkpoint folder and
+work folders in shared storage."""
 
 from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 
 def local_session(cores: int | None = None, app: str = "demandlake") -> SparkSession:
@@ -38,13 +38,16 @@ def local_session(cores: int | None = None, app: str = "demandlake") -> SparkSes
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Return the shared checkpoint folder named by the cluster.
 
-    The cluster names it in ``spark.checkpoint.dir``; a fresh local folder is
-    only created when the setting is absent (local tests)."""
+    The cluster names it in ``spark.checkpoint.dir``. A fresh local folder is
+    only created when the setting is absent on a ``local`` master; on a cluster,
+    where executors would write to their own disks, that is an error."""
     sc = spark.sparkContext
     current = sc.getCheckpointDir()
     if current:
         return current
     conf_dir = spark.conf.get("spark.checkpoint.dir", None)
+    if not conf_dir and not sc.master.startswith("local["):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
     if not conf_dir:
         conf_dir = tempfile.mkdtemp(prefix="demandlake-ckpt-", dir="/tmp")
     sc.setCheckpointDir(conf_dir)
@@ -57,18 +60,20 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def sized_broadcast(df: DataFrame, max_rows: int = 1_000_000) -> DataFrame:
-    """Broadcast ``df`` only when it provably holds at most ``max_rows`` rows.
+def path_exists(spark: SparkSession, path: str) -> bool:
+    """Whether ``path`` exists, on any file system Spark reads."""
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(p)
 
-    The frame is persisted, then the bound is checked with a limit+count
-    (stops after ``max_rows + 1`` rows); the query then reads the cached
-    rows instead of recomputing them. Above the bound the cache is dropped
-    and the frame is returned as is, so the planner shuffles."""
-    from pyspark import StorageLevel
 
-    cached = df.persist(StorageLevel.MEMORY_AND_DISK)
-    n = cached.limit(max_rows + 1).count()
-    if n <= max_rows:
-        return F.broadcast(cached)
-    cached.unpersist()
-    return df
+def work_dir(spark: SparkSession, name: str) -> str:
+    """A fresh folder for tables that a job writes and reads back, outside the
+    checkpoint folder: under ``spark.demandlake.workDir`` or else the warehouse
+    (both shared by all executors). Removed when the application ends; durable
+    tables belong in a folder of the caller's own."""
+    base = spark.conf.get("spark.demandlake.workDir", None) or os.path.join(
+        spark.conf.get("spark.sql.warehouse.dir"), "demandlake-work")
+    path = os.path.join(base, f"{name}-{uuid.uuid4().hex[:8]}")
+    folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(folder)
+    return path

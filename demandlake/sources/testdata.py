@@ -16,10 +16,10 @@ from __future__ import annotations
 
 import os
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from demandlake.schema import BUSINESS_TYPES, SALES_SCHEMA
+from demandlake.schema import BUSINESS_TYPES, KNOWN_ITEMS, SALES_SCHEMA
 
 DEFAULT_SF_DIR = "/root/testdata/sf0.01"
 
@@ -27,6 +27,27 @@ DEFAULT_SF_DIR = "/root/testdata/sf0.01"
 RETURNFLAG_BUSINESS = {"A": "Restaurant", "N": "Cafe", "R": "Bakery"}
 
 
+# Names of derived items: known ones, ones with a guess keyword ("Steak" holds "tea"), others.
+KEYWORD_NAMES = ["Steak", "Iced Tea", "Meat Pie", "Spring Roll", "Rye Bread", "Mango Juice"]
+# Parts that share an item of the sales table: the number of series grows with part.
+PARTS_PER_ITEM = 40
+
+
+def item_names(n: Column, other: Column) -> Column:
+    """Name of item number ``n``: an eighth known, an eighth with a keyword, else ``other``."""
+    pick = lambda names: F.element_at(
+        F.array(*[F.lit(x) for x in names]), (F.floor(n / 8) % len(names) + 1).cast("int"))
+    number = n.cast("string")
+    return (F.when(n % 8 == 0, pick(list(KNOWN_ITEMS)))
+            .when(n % 8 == 1, F.concat_ws(" ", pick(KEYWORD_NAMES), number)).otherwise(other))
+
+
+def item_names_sql(n: str, other: str) -> str:
+    pick = lambda names: "([" + ", ".join(f"'{x}'" for x in names) + f"])[CAST(({n}) // 8 % {len(names)} + 1 AS INTEGER)]"
+    return (f"CASE WHEN ({n}) % 8 = 0 THEN {pick(list(KNOWN_ITEMS))} "
+            f"WHEN ({n}) % 8 = 1 THEN {pick(KEYWORD_NAMES)} || ' ' || CAST({n} AS VARCHAR) ELSE {other} END")
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(os.path.join(sf_dir, f"{name}.parquet"))
 
@@ -37,7 +58,9 @@ def sales_from_tables(lineitem: DataFrame, part: DataFrame) -> DataFrame:
     li = lineitem.where(F.col("l_returnflag").isin(flags)).select(
         "l_partkey", "l_quantity", "l_discount", "l_returnflag", "l_shipdate"
     )
-    p = part.select("p_partkey", "p_type")
+    p = part.select("p_partkey")
+    n = F.floor(F.col("p_partkey") / PARTS_PER_ITEM)
+    item = item_names(n, F.concat_ws(" ", F.lit("Dish"), n.cast("string")))
     business = F.when(F.col("l_returnflag") == "A", "Restaurant")
     for flag, biz in list(RETURNFLAG_BUSINESS.items())[1:]:
         business = business.when(F.col("l_returnflag") == flag, biz)
@@ -47,7 +70,7 @@ def sales_from_tables(lineitem: DataFrame, part: DataFrame) -> DataFrame:
         li.join(p, li.l_partkey == p.p_partkey)
         .groupBy(
             business.alias("business_type"),
-            F.col("p_type").alias("item_name"),
+            item.alias("item_name"),
             F.to_date("l_shipdate").alias("date"),
         )
         .agg(
@@ -88,27 +111,30 @@ def load_sales(spark: SparkSession, sf_dir: str = DEFAULT_SF_DIR, materialize: b
 
 
 def menu_items(part: DataFrame) -> DataFrame:
-    """Menu items over ``part``: names from p_name, shelf life from p_size,
+    """Menu items over ``part``: names by ``item_names`` (else p_name), shelf life from p_size,
     price p_partkey % 60 + 5, business by p_partkey % 3. These exercise the
     unknown-item guess (P7)."""
     biz = F.element_at(F.array(*[F.lit(b) for b in BUSINESS_TYPES]), (F.col("p_partkey") % 3 + 1).cast("int"))
     return part.select(
         F.col("p_partkey").alias("item_id"),
         biz.alias("business_type"),
-        F.col("p_name").alias("item_name"),
+        item_names(F.col("p_partkey"), F.col("p_name")).alias("item_name"),
         ((F.col("p_partkey") % 60) + 5).cast("double").alias("price"),
         F.col("p_size").cast("double").alias("shelf_life_hours"),
     )
 
 
 def request_log(events: DataFrame) -> DataFrame:
-    """Request log over ``events``: endpoint = event_type, status 500 for
-    'error' else 200, latency = value / 100 s, fallback when user_id % 7 = 0."""
+    """Request log over ``events``: endpoint = event_type, status 500 for 'error',
+    503 for everything in the fourth hour of the 13th day (an outage), 404 for every
+    40th event, else 200; latency = value / 100 s, fallback when user_id % 7 = 0."""
+    down = (F.dayofmonth("ts") == 13) & (F.hour("ts") == 4)
     return events.select(
         F.col("event_id"),
         F.col("ts"),
         F.col("event_type").alias("endpoint"),
-        F.when(F.col("event_type") == "error", 500).otherwise(200).cast("int").alias("status"),
+        F.when(F.col("event_type") == "error", 500).when(down, 503).when(F.col("event_id") % 40 == 0, 404)
+        .otherwise(200).cast("int").alias("status"),
         (F.col("value") / 100.0).alias("latency_s"),
         (F.col("user_id") % 7 == 0).alias("fallback"),
     )
@@ -131,7 +157,7 @@ sales AS (
          CAST(CASE WHEN dayofyear(date) % 20 = 0 THEN 1 ELSE 0 END AS INTEGER) AS holiday_flag
   FROM (
     SELECT CASE l_returnflag WHEN 'A' THEN 'Restaurant' WHEN 'N' THEN 'Cafe' WHEN 'R' THEN 'Bakery' END AS business_type,
-           p_type AS item_name,
+           {item} AS item_name,
            CAST(l_shipdate AS DATE) AS date,
            CAST(sum(CAST(l_quantity AS BIGINT)) AS BIGINT) AS customer_demand,
            CAST(sum(CAST(l_quantity AS BIGINT) * CAST(round((1.05 - l_discount) * 100) AS BIGINT)) AS BIGINT) // 100 AS avail
@@ -140,23 +166,25 @@ sales AS (
     GROUP BY 1, 2, 3
   ) d
 )
-"""
+""".replace("{item}", item_names_sql(f"(p_partkey // {PARTS_PER_ITEM})",
+                                     f"'Dish ' || CAST(p_partkey // {PARTS_PER_ITEM} AS VARCHAR)"))
 
 MENU_SQL = """
 menu AS (
   SELECT p_partkey AS item_id,
          (['Restaurant', 'Cafe', 'Bakery'])[CAST(p_partkey % 3 + 1 AS INTEGER)] AS business_type,
-         p_name AS item_name,
+         {item} AS item_name,
          CAST(p_partkey % 60 + 5 AS DOUBLE) AS price,
          CAST(p_size AS DOUBLE) AS shelf_life_hours
   FROM part
 )
-"""
+""".replace("{item}", item_names_sql("p_partkey", "p_name"))
 
 REQUEST_LOG_SQL = """
 reqlog AS (
   SELECT event_id, ts, event_type AS endpoint,
-         CAST(CASE WHEN event_type = 'error' THEN 500 ELSE 200 END AS INTEGER) AS status,
+         CAST(CASE WHEN event_type = 'error' THEN 500 WHEN day(ts) = 13 AND hour(ts) = 4 THEN 503
+                   WHEN event_id % 40 = 0 THEN 404 ELSE 200 END AS INTEGER) AS status,
          value / 100.0 AS latency_s,
          (user_id % 7 = 0) AS fallback
   FROM events
@@ -175,9 +203,70 @@ def with_sql(*ctes: str) -> str:
 # ---------------------------------------------------------------------------
 
 
-def naive_pairs(sales: DataFrame) -> DataFrame:
+def raw_sales(sales: DataFrame) -> DataFrame:
+    """The sales table as an export would hold it: text columns, with bad cells on
+    certain days of the year (an unreadable date, no demand, negative or
+    excessive sales, wrong waste, bad price, shelf life, weather and flag, a
+    quantity that is not whole, negative availability)."""
+    day = F.dayofyear("date") % 50
+    bad = {
+        "date": [(1, F.lit("2024-13-45"))],
+        "customer_demand": [(2, F.lit(None).cast("string"))],
+        "quantity_sold": [(3, (-F.col("quantity_sold") - 1).cast("string")),
+                          (4, (F.col("quantity_available") + 5).cast("string"))],
+        "waste_quantity": [(5, (F.col("waste_quantity") + 1).cast("string")), (12, F.lit("-2"))],
+        "price": [(6, F.lit("0"))],
+        "shelf_life_hours": [(7, F.lit("-1"))],
+        "weather_condition": [(8, F.lit("Snowy"))],
+        "holiday_flag": [(9, F.lit("2"))],
+        "quantity_available": [(10, F.lit("12.7")), (11, F.lit("-4"))],
+    }
+    out = []
+    for f in SALES_SCHEMA.fields:
+        e = F.col(f.name).cast("string")
+        for k, v in bad.get(f.name, []):
+            e = F.when(day == k, v).otherwise(e)
+        out.append(e.alias(f.name))
+    return sales.select(*out)
+
+
+RAW_SALES_SQL = """
+raw AS (
+  SELECT business_type, item_name,
+         CASE WHEN k = 1 THEN '2024-13-45' ELSE CAST(date AS VARCHAR) END AS date,
+         CASE WHEN k = 6 THEN '0' ELSE CAST(price AS VARCHAR) END AS price,
+         CASE WHEN k = 7 THEN '-1' ELSE CAST(shelf_life_hours AS VARCHAR) END AS shelf_life_hours,
+         CASE WHEN k = 10 THEN '12.7' WHEN k = 11 THEN '-4' ELSE CAST(quantity_available AS VARCHAR) END AS quantity_available,
+         CASE WHEN k = 3 THEN CAST(-quantity_sold - 1 AS VARCHAR) WHEN k = 4 THEN CAST(quantity_available + 5 AS VARCHAR)
+              ELSE CAST(quantity_sold AS VARCHAR) END AS quantity_sold,
+         CASE WHEN k = 2 THEN NULL ELSE CAST(customer_demand AS VARCHAR) END AS customer_demand,
+         CASE WHEN k = 5 THEN CAST(waste_quantity + 1 AS VARCHAR) WHEN k = 12 THEN '-2'
+              ELSE CAST(waste_quantity AS VARCHAR) END AS waste_quantity,
+         CASE WHEN k = 8 THEN 'Snowy' ELSE weather_condition END AS weather_condition,
+         CASE WHEN k = 9 THEN '2' ELSE CAST(holiday_flag AS VARCHAR) END AS holiday_flag
+  FROM (SELECT *, dayofyear(date) % 50 AS k FROM sales) s
+),
+dirty AS (
+  SELECT business_type, item_name, CAST(try_strptime(date, '%Y-%m-%d') AS DATE) AS date, TRY_CAST(price AS DOUBLE) AS price,
+         TRY_CAST(shelf_life_hours AS DOUBLE) AS shelf_life_hours,
+         {available} AS quantity_available, {sold} AS quantity_sold, {demand} AS customer_demand, {waste} AS waste_quantity,
+         weather_condition, {holiday} AS holiday_flag,
+         date IS NOT NULL AND try_strptime(date, '%Y-%m-%d') IS NULL AS bad_date,
+         quantity_available IS NOT NULL AND {available} IS NULL AS bad_cell
+  FROM raw
+)
+"""
+for _name, _col in (("available", "quantity_available"), ("sold", "quantity_sold"), ("demand", "customer_demand"),
+                    ("waste", "waste_quantity"), ("holiday", "holiday_flag")):
+    RAW_SALES_SQL = RAW_SALES_SQL.replace("{%s}" % _name, (
+        f"CASE WHEN TRY_CAST({_col} AS DOUBLE) = floor(TRY_CAST({_col} AS DOUBLE)) "
+        f"THEN CAST(TRY_CAST({_col} AS DOUBLE) AS BIGINT) END"))
+
+
+def naive_pairs(sales: DataFrame, complete: bool = True) -> DataFrame:
     """Actual vs a naive forecast (demand 7 rows earlier in the series), so
-    the accuracy operators can be checked without a model."""
+    the accuracy operators can be checked without a model. The first rows of a
+    series have no forecast; ``complete=False`` keeps them."""
     from pyspark.sql import Window
 
     w = Window.partitionBy("business_type", "item_name").orderBy("date")
@@ -186,7 +275,7 @@ def naive_pairs(sales: DataFrame) -> DataFrame:
                      F.col("customer_demand").cast("double").alias("y_true"),
                      F.lag("customer_demand", 7).over(w).cast("double").alias("y_pred"),
                      F.col("quantity_available"))
-        .where(F.col("y_pred").isNotNull())
+        .where(F.col("y_pred").isNotNull() if complete else F.lit(True))
     )
 
 
@@ -209,14 +298,14 @@ def accuracy_log(sales: DataFrame) -> DataFrame:
 
 def uploads(lineitem: DataFrame, part: DataFrame) -> DataFrame:
     """An uploaded sales file (text date) over lineitem rows, with the bad
-    cells real uploads have: unparseable dates (line number 7), negative
+    cells real uploads have: unparseable dates (line number 7), no name (6), negative
     sales (quantity below 3) and sales above availability."""
     li = lineitem.select("l_orderkey", "l_partkey", "l_linenumber", "l_quantity", "l_shipdate")
     j = li.join(part.select("p_partkey", "p_type"), li.l_partkey == part.p_partkey)
     return j.select(
         F.when(F.col("l_linenumber") == 7, F.lit("2024-13-45"))
         .otherwise(F.date_format("l_shipdate", "yyyy-MM-dd")).alias("date"),
-        F.col("p_type").alias("item_name"),
+        F.when(F.col("l_linenumber") != 6, F.col("p_type")).alias("item_name"),
         (F.col("l_quantity").cast("bigint") - 3).alias("quantity_sold"),
         (F.col("l_quantity").cast("bigint") + F.col("l_orderkey") % 5 - 4).alias("quantity_available"),
     )
@@ -234,7 +323,7 @@ def week_requests(part: DataFrame) -> DataFrame:
     holidays = F.transform(days, lambda i: F.when((F.col("p_partkey") + i) % 20 == 0, F.lit(1)).otherwise(F.lit(0)))
     return part.select(
         F.col("p_partkey").alias("request_id"),
-        F.when(size == 1, F.lit("   ")).otherwise(F.col("p_name")).alias("item_name"),
+        F.when(size == 1, F.lit("   ")).otherwise(item_names(F.col("p_partkey"), F.col("p_name"))).alias("item_name"),
         F.when(size == 2, F.lit("Diner")).otherwise(biz).alias("business_type"),
         ((F.col("p_partkey") % 60) - 2).cast("double").alias("price"),
         (size / 2.0).alias("shelf_life_hours"),
@@ -271,14 +360,13 @@ day_requests AS (
 """
 
 NAIVE_SQL = """
-naive AS (
-  SELECT * FROM (
+naive_all AS (
     SELECT business_type, item_name, date, CAST(customer_demand AS DOUBLE) AS y_true,
            CAST(lag(customer_demand, 7) OVER (PARTITION BY business_type, item_name ORDER BY date) AS DOUBLE) AS y_pred,
            quantity_available
-    FROM sales) n
-  WHERE y_pred IS NOT NULL
-)
+    FROM sales
+),
+naive AS (SELECT * FROM naive_all WHERE y_pred IS NOT NULL)
 """
 
 PLANS_SQL = """
@@ -292,15 +380,15 @@ plans AS (
 ACCURACY_LOG_SQL = """
 acclog AS (
   SELECT business_type, item_name, timestamp, round(mae, 2) AS mae, round(mape, 2) AS mape,
-         round(rmse, 2) AS rmse, round(r2, 3) AS r2, n_predictions, round(mape, 2) > 25 AS drift
+         round(rmse, 2) AS rmse, CAST(round(CAST(r2 AS DECIMAL(38, 9)), 3) AS DOUBLE) AS r2, n_predictions, round(mape, 2) > 25 AS drift
   FROM (
     SELECT business_type, item_name, CAST(date_trunc('week', date) AS TIMESTAMP) AS timestamp,
            avg(abs(y_true - y_pred)) AS mae,
            avg(abs(y_true - y_pred) / greatest(abs(y_true), 2.220446049250313e-16)) * 100.0 AS mape,
            sqrt(avg((y_true - y_pred) * (y_true - y_pred))) AS rmse,
-           CASE WHEN sum(y_true * y_true) - sum(y_true) * sum(y_true) / count(y_true) = 0
+           CASE WHEN var_pop(y_true) * count(y_true) = 0
                 THEN CASE WHEN sum((y_true - y_pred) * (y_true - y_pred)) = 0 THEN 1.0 ELSE 0.0 END
-                ELSE 1.0 - sum((y_true - y_pred) * (y_true - y_pred)) / (sum(y_true * y_true) - sum(y_true) * sum(y_true) / count(y_true)) END AS r2,
+                ELSE 1.0 - sum((y_true - y_pred) * (y_true - y_pred)) / (var_pop(y_true) * count(y_true)) END AS r2,
            count(y_true) AS n_predictions
     FROM naive GROUP BY 1, 2, 3) s
 )
@@ -309,7 +397,7 @@ acclog AS (
 UPLOADS_SQL = """
 uploads AS (
   SELECT CASE WHEN l_linenumber = 7 THEN '2024-13-45' ELSE strftime(l_shipdate, '%Y-%m-%d') END AS date,
-         p_type AS item_name,
+         CASE WHEN l_linenumber <> 6 THEN p_type END AS item_name,
          CAST(l_quantity AS BIGINT) - 3 AS quantity_sold,
          CAST(l_quantity AS BIGINT) + l_orderkey % 5 - 4 AS quantity_available
   FROM lineitem JOIN part ON l_partkey = p_partkey
@@ -319,7 +407,7 @@ uploads AS (
 REQUESTS_SQL = """
 requests AS (
   SELECT p_partkey AS request_id,
-         CASE WHEN p_size = 1 THEN '   ' ELSE p_name END AS item_name,
+         CASE WHEN p_size = 1 THEN '   ' ELSE {item} END AS item_name,
          CASE WHEN p_size = 2 THEN 'Diner' ELSE (['Restaurant', 'Cafe', 'Bakery'])[CAST(p_partkey % 3 + 1 AS INTEGER)] END AS business_type,
          CAST(p_partkey % 60 - 2 AS DOUBLE) AS price,
          p_size / 2.0 AS shelf_life_hours,
@@ -331,7 +419,7 @@ requests AS (
                [CASE WHEN (p_partkey + i) % 20 = 0 THEN 1 ELSE 0 END FOR i IN range(0, 7)] AS h
         FROM part) p
 )
-"""
+""".replace("{item}", item_names_sql("p_partkey", "p_name"))
 
 
 def series_requests(sales: DataFrame) -> DataFrame:

@@ -23,6 +23,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
 from demandlake.functions import metrics as M
@@ -69,9 +70,13 @@ def stream_accuracy(sdf: DataFrame, ts: str = "ts", by: Sequence[str] = ("busine
 
 def stream_risk(plans: DataFrame, forecasts: DataFrame,
                 keys: Sequence[str] = ("business_type", "item_name", "date")) -> DataFrame:
-    """Waste risk of each streamed plan against the static forecasts."""
-    f = forecasts.select(*keys, "predicted_demand")
-    return add_waste_risk(plans.join(f, list(keys), "inner"))
+    """Waste risk of each streamed plan against the static forecasts. A plan
+    without a forecast stays, with ``no_forecast`` true and no risk."""
+    f = forecasts.select(*keys, "predicted_demand", F.lit(False).alias("no_forecast"))
+    scored = add_waste_risk(plans.join(f, list(keys), "left"))
+    scored = scored.withColumn("no_forecast", F.coalesce("no_forecast", F.lit(True)))
+    added = [c for c in scored.columns if c not in plans.columns and c not in ("predicted_demand", "no_forecast")]
+    return scored.withColumns({c: F.when(~F.col("no_forecast"), F.col(c)) for c in added})
 
 
 def run_to_table(sdf: DataFrame, path: str, checkpoint: str, mode: str = "update",
@@ -86,10 +91,17 @@ def run_to_table(sdf: DataFrame, path: str, checkpoint: str, mode: str = "update
     return w.start()
 
 
-def read_latest(spark: SparkSession, path: str, keys: Sequence[str]) -> DataFrame:
-    """Newest version of each key in an update-mode table (grouped max_by,
-    no global sort)."""
-    df = spark.read.parquet(path)
+def ingest_schemas(sdf: DataFrame) -> tuple[T.StructType, T.StructType]:
+    """Schemas of the history and quarantine sinks of ``stream_ingest``: readers
+    declare them, since a sink that no row has reached holds no file."""
+    good = T.StructType(list(sdf.schema.fields))
+    return good, T.StructType([*good.fields, T.StructField("reasons", T.ArrayType(T.StringType()))])
+
+
+def read_latest(spark: SparkSession, path: str, keys: Sequence[str], schema: T.StructType) -> DataFrame:
+    """Newest version of each key in an update-mode table of ``schema`` (grouped
+    max_by, no global sort)."""
+    df = spark.read.schema(T.StructType([*schema.fields, T.StructField("_batch", T.LongType())])).parquet(path)
     cols = [c for c in df.columns if c not in keys and c != "_batch"]
     best = df.groupBy(*keys).agg(F.max_by(F.struct(*cols), "_batch").alias("_row"))
     return best.select(*keys, *[F.col(f"_row.{c}").alias(c) for c in cols])

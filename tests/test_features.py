@@ -83,17 +83,13 @@ def test_sold_waste_rule(spark):
 
 
 def test_enrich_items_with_dimension_table(spark):
-    from demandlake.session import sized_broadcast
-
     df = spark.createDataFrame(sales_rows(2, item="House Special") + sales_rows(2, item="Green Tea"), SALES_DDL)
     dim = spark.createDataFrame([("House Special", "main_meal", 5)],
                                 "item_name string, category string, preparation_complexity int")
     got = {r.item_name: (r.category, r.preparation_complexity) for r in fe.enrich_items(df, dim=dim).collect()}
     assert got == {"House Special": ("main_meal", 5), "Green Tea": ("beverage", 1)}
-    plan = sized_broadcast(dim, max_rows=1)._jdf.queryExecution().logical().toString()
-    assert "broadcast" in plan.lower()
-    plan = sized_broadcast(df, max_rows=1)._jdf.queryExecution().logical().toString()
-    assert "broadcast" not in plan.lower()  # above the bound: no hint, the planner decides
+    plan = fe.enrich_items(df, dim=dim)._jdf.queryExecution().logical().toString()
+    assert "hint" not in plan.lower()  # the planner decides by size
 
 
 def test_densified_lags_count_days(spark):

@@ -54,7 +54,8 @@ def test_recent_and_retraining(spark):
     assert not mo.needs_retraining(_log(spark, [30] * 6)).first().needs_retraining  # fewer than 7 entries
     rep = mo.accuracy_report(log, business_type="Cafe", n=3).first()
     assert rep.period == "Last 3 evaluations" and rep.meets_target is False and rep.degraded is False
-    assert mo.accuracy_report(log, item_name="Nothing").count() == 0
+    none = mo.accuracy_report(log, item_name="Nothing").first()
+    assert none["n_entries"] == 0 and none["alert_message"] == "No matching records found."
 
 
 def _brute_runs(events):
