@@ -20,6 +20,7 @@ import re
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
+from struct import pack
 
 import numpy as np
 import pyarrow as pa
@@ -56,28 +57,34 @@ class Pieces:
             else:
                 self.decoded.append(piece.replace(SPACE, " ").encode())
                 self.score[piece] = (model.get_score(i), i)
-        self.prefixes = {p[:k] for p in self.score for k in range(1, len(p) + 1)}
+        #: every prefix of a piece: (score, ids) of the piece, or () where it is none
+        self.trie: dict[str, tuple] = {p[:k]: () for p in self.score for k in range(2, len(p) + 1)}
+        self.trie |= {p: (v, (i,)) for p, (v, i) in self.score.items()}
         self.pairs = {p[k:k + 2] for p in self.score for k in range(len(p) - 1)}
+        letters = "abcdefghijklmnopqrstuvwxyz"
+        rare = {c: "".join(d for d in letters if c + d not in self.pairs) for c in letters}
+        self.start = {c for c in letters if SPACE + c in self.pairs}
+        self.letters = re.compile("[a-z]+").fullmatch
+        #: pairs of small letters that no piece contains
+        self.cut = re.compile("|".join(f"{c}[{ds}]" for c, ds in rare.items() if ds) or "(?!)").search
         self.fallback = min(s for s, _ in self.score.values() if s > -1e8) - FALLBACK_PENALTY
         self.parts = Memo(self.solve, MEMO_LIMIT)
         self.units = Memo(self.solve_unit, MEMO_LIMIT)
+        self.options = Memo(lambda key: self.nbest_part(*key), MEMO_LIMIT // 10)
 
     def edges(self, part: str) -> list[list[tuple[int, float, tuple[int, ...]]]]:
         """For each end position the edges (start, score, ids), longest first."""
-        n = len(part)
+        n, get = len(part), self.trie.get
         ending: list[list] = [[] for _ in range(n + 1)]
-        score, prefixes = self.score, self.prefixes
         for i in range(n):
-            j = i + 1
-            single = part[i] in score
-            while j <= n and (s := part[i:j]) in prefixes:
-                if s in score:
-                    v, k = score[s]
-                    ending[j].append((i, v, (k,)))
-                j += 1
-            if not single:
-                ids = tuple(self.byte_ids[b] for b in part[i].encode("utf-8", "replace"))
-                ending[i + 1].append((i, self.fallback, ids))
+            for j in range(i + 1, n + 1):
+                edge = get(part[i:j])
+                if edge is None:
+                    if j > i + 1:
+                        break
+                    edge = (self.fallback, tuple(self.byte_ids[b] for b in part[i].encode("utf-8", "replace")))
+                if edge:
+                    ending[j].append((i, *edge))
         return ending
 
     def forward(self, ending) -> tuple[list[float], list]:
@@ -95,30 +102,33 @@ class Pieces:
         return best, back
 
     def solve(self, part: str) -> tuple[bytes, float, float]:
-        """(ids of the best segmentation as unsigned 32-bit integers, its score, lead over the second best)."""
-        ending = self.edges(part)
-        best, back = self.forward(ending)
-        n = len(part)
+        """(ids of the best segmentation as unsigned 32-bit integers, its score, lead over the second best),
+        by a forward pass that keeps the two best scores of every position."""
+        n, get = len(part), self.trie.get
+        best, second, back = [0.0] + [-1e300] * n, [-1e300] * (n + 1), [None] * (n + 1)
+        for i in range(n):  # all edges that end at i are known: its scores are final
+            here, next_best = best[i], second[i]
+            for j in range(i + 1, n + 1):
+                edge = get(part[i:j])
+                if edge is None:
+                    if j > i + 1:
+                        break
+                    edge = (self.fallback, tuple(self.byte_ids[b] for b in part[i].encode("utf-8", "replace")))
+                if edge:
+                    v = here + edge[0]
+                    top = best[j]
+                    if v > top:  # of equal scores the one of the longer last piece, which starts first, stays
+                        best[j], back[j] = v, (i, edge[1])
+                        v = next_best + edge[0]
+                        second[j] = top if top > v else v
+                    elif v > second[j]:
+                        second[j] = v
         ids: list[int] = []
-        on_path = set()
         j = n
         while j:
-            edge = back[j]
-            on_path.add((edge[0], j))
-            ids[:0] = edge[2]
-            j = edge[0]
-        after = [-1e300] * n + [0.0]
-        second = -1e300
-        for j in range(n, 0, -1):  # every other segmentation uses an edge off the best path
-            a = after[j]
-            if a > -1e299:
-                for i, v, _ in ending[j]:
-                    v += a
-                    if v > after[i]:
-                        after[i] = v
-                    if v + best[i] > second and (i, j) not in on_path:
-                        second = v + best[i]
-        return np.array(ids, "<u4").tobytes(), best[n], best[n] - second if second > -1e299 else float("inf")
+            j, k = back[j]
+            ids[:0] = k
+        return pack(f"<{len(ids)}I", *ids), best[n], best[n] - second[n] if second[n] > -1e299 else float("inf")
 
     def split(self, unit: str) -> list[str]:
         """Parts between which no piece can lie."""
@@ -127,6 +137,8 @@ class Pieces:
 
     def solve_unit(self, word: str) -> tuple[bytes, float, float]:
         """The same for a word after its space mark; a word that starts with a mark brings all of its own."""
+        if word and word[0] in self.start and self.letters(word) and not self.cut(word):
+            return self.solve(SPACE + word)
         parts = self.split(word if word.startswith(SPACE) else SPACE + word)
         if len(parts) == 1:
             return self.solve(parts[0])
@@ -166,12 +178,11 @@ class Pieces:
         """(ids of the best segmentation, the n best scores, changes): change k maps part numbers to the ids that
         differ in segmentation k. Fewer than n where the lattice has fewer paths; empty text has the one of no piece."""
         words = self.words(text)
-        found = [self.units[w] for w in words]
-        ids = b"".join([x[0] for x in found])
-        total = sum([x[1] for x in found])
-        lists = [(total, {})]
-        if n > 1 and found:
-            leads = np.fromiter((x[2] for x in found), np.float64, len(found))
+        units = self.units
+        coded, scores, leads = zip(*[units[w] for w in words], strict=True) if words else ((), (), ())
+        ids, lists = b"".join(coded), [(float(sum(scores)), {})]
+        if n > 1 and words:
+            leads = np.array(leads)
             m = min(n - 1, len(leads))
             # every word whose lead ties with the (n-1)-th smallest would do as well; the first are taken
             near = np.argpartition(leads, m - 1)[:m] if m < len(leads) else np.arange(len(leads))
@@ -180,7 +191,7 @@ class Pieces:
             for w in sorted(int(x) for x in pick if np.isfinite(leads[x])):
                 word = words[w]
                 for p, part in enumerate(self.split(word if word.startswith(SPACE) else SPACE + word)):
-                    options = self.nbest_part(part, n)
+                    options = self.options[part, n]
                     top = options[0][0]
                     lists = heapq.nsmallest(n, [
                         (score + s - top, change | ({(w, p): k} if r else {}))
@@ -247,6 +258,7 @@ def encode_documents(docs: DataFrame, model_path: str | None = None, n: int = 4,
                      pa.array([r[2] for r in rows])], ["doc_id", "ids", "scores", "restored"])
                 lattice.units.trim()
                 lattice.parts.trim()
+                lattice.options.trim()
                 lo = hi
 
     schema = f"doc_id {docs.schema[id_col].dataType.simpleString()}, ids array<int>, scores array<double>, restored boolean"
