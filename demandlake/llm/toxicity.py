@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from demandlake.llm import textarrays as ta
-from demandlake.llm.shared import read_table
+from demandlake.llm.shared import read_table, stage
 
 BITS = 20
 BUCKETS = 1 << BITS
@@ -73,54 +73,76 @@ def training_sample(docs: DataFrame, labels: DataFrame, max_docs: int, id_col: s
 
 def fit(sample: DataFrame) -> Model:
     """The model of a bounded (text, label) sample, by full-batch gradient steps (Adam) on the noisy-or
-    likelihood. Word ids are made in tasks; the sample's word ids alone reach the driver. Without
-    both labels in the sample all scores are the label's share."""
+    likelihood. Tasks count the features of each label first; only the features that pass the
+    screening, and where they stand in the sample's sentences, reach the driver. Without both labels
+    in the sample all scores are the label's."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen = np.zeros((2, BUCKETS), np.int64)
+        docs = np.zeros(2, np.int64)
         for batch in batches:
             labels = batch.column(1).to_pylist()
-            out = []
             for w in ta.word_chunks(ta.normalized(batch.column(0)), STEMS):
                 b = _buckets(w)
+                for k in range(len(w.bounds) - 1):
+                    y = int(labels[w.first + k] > 0)
+                    docs[y] += 1
+                    seen[y, np.unique(b[:, w.bounds[k]:w.bounds[k + 1]])] += 1
+        at = np.flatnonzero(seen.any(axis=0))
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(np.append(at, -1)), pa.array(np.append(seen[0, at], docs[0])),
+             pa.array(np.append(seen[1, at], docs[1]))], ["feature", "clean", "toxic"])
+
+    counts = sample.mapInArrow(count, "feature bigint, clean bigint, toxic bigint").groupBy("feature").agg(
+        F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic"))
+    counts = stage(counts, "features")
+    total = counts.filter("feature < 0").first()
+    clean, toxic = (total["clean"], total["toxic"]) if total else (0, 0)
+    if not clean or not toxic:
+        return Model(np.zeros(BUCKETS, np.float32), 20.0 if toxic else -20.0)
+    n, share = clean + toxic, toxic / (clean + toxic)
+    has = F.col("clean") + F.col("toxic")
+    z = (F.col("toxic") - share * has) / F.sqrt(has * (share * (1 - share)))
+    used = np.sort(np.array([r.feature for r in counts.filter("feature >= 0").filter(
+        (has >= min(MIN_DOCS, max(1, n // 50))) & (z >= MIN_Z)).select("feature").collect()], np.int64))
+
+    def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        slot = np.full(BUCKETS, -1, np.int32)
+        slot[used] = np.arange(len(used))
+        for batch in batches:
+            labels = batch.column(1).to_pylist()
+            out = []
+            for w in ta.word_chunks(ta.normalized(batch.column(0)), STEMS):
+                kinds = slot[_buckets(w)]
                 first, doc = _sentences(w)
-                lengths = np.diff(np.append(first, len(w.hash))).astype(np.int32)
+                kind, word = np.nonzero(kinds >= 0)
+                sentence = np.searchsorted(first, word, "right") - 1
+                pair = np.unique(sentence.astype(np.int64) << BITS | kinds[kind, word])  # once in a sentence
                 cut = np.searchsorted(doc, np.arange(len(w.bounds)))
+                at = np.searchsorted(pair, cut.astype(np.int64) << BITS)
                 for k in range(len(w.bounds) - 1):
-                    out.append((labels[w.first + k], b[:, w.bounds[k]:w.bounds[k + 1]].T.tobytes(),
-                                lengths[cut[k]:cut[k + 1]].tobytes()))
+                    mine = pair[at[k]:at[k + 1]] - (int(cut[k]) << BITS)
+                    out.append((int(labels[w.first + k] > 0), int(cut[k + 1] - cut[k]), mine.astype("<i8").tobytes()))
             yield pa.RecordBatch.from_arrays(
-                [pa.array([x[0] for x in out], pa.int32()), pa.array([x[1] for x in out], pa.binary()),
-                 pa.array([x[2] for x in out], pa.binary())], ["label", "words", "lengths"])
-
-    rows = sample.mapInArrow(run, "label int, words binary, lengths binary").orderBy("label", "words").toArrow()
-    return fit_bags(rows.column("label").to_numpy().astype(np.float64),
-                    [np.frombuffer(x.as_py(), np.int32) for x in rows.column("words")],
-                    [np.frombuffer(x.as_py(), np.int32) for x in rows.column("lengths")])
-
-
-def fit_bags(label: np.ndarray, words: list[np.ndarray], lengths: list[np.ndarray]) -> Model:
-    """The same from each document's label, features (FEATURES per word) and words per sentence."""
+                [pa.array([x[0] for x in out], pa.int32()), pa.array([x[1] for x in out], pa.int32()),
+                 pa.array([x[2] for x in out], pa.binary())], ["label", "sentences", "pairs"])
+
+    rows = sample.mapInArrow(place, "label int, sentences int, pairs binary").orderBy("label", "sentences", "pairs").toArrow()
+    pairs = [np.frombuffer(x.as_py(), "<i8") for x in rows.column("pairs")]
+    return fit_bags(used, rows.column("label").to_numpy().astype(np.float64),
+                    rows.column("sentences").to_numpy(), pairs)
+
+
+def fit_bags(used: np.ndarray, label: np.ndarray, sentences: np.ndarray, pairs: list[np.ndarray]) -> Model:
+    """The same from the features ``used`` and each document's label, number of sentences and (sentence, index in
+    ``used``) pairs, packed with ``BITS`` low bits."""
+    n = len(label)
+    starts = np.concatenate(([0], np.cumsum(sentences)))
+    size = np.empty(starts[-1])
+    sent_doc = np.repeat(np.arange(n), sentences)
+    sent = np.concatenate([(p >> BITS) + s for p, s in zip(pairs, starts, strict=False)])
+    flat = np.concatenate([p & (BUCKETS - 1) for p in pairs])
     weights = np.zeros(BUCKETS, np.float32)
-    if not len(label) or label.min() == label.max():
-        return Model(weights, 20.0 if len(label) and label[0] else -20.0)
-    n, share = len(label), label.mean()
-    has, toxic = np.zeros(BUCKETS, np.int64), np.zeros(BUCKETS, np.int64)
-    for x, y in zip(words, label, strict=True):
-        x = np.unique(x)
-        has[x] += 1
-        toxic[x] += int(y > 0)
-    z = (toxic - share * has) / np.sqrt(np.maximum(has * share * (1 - share), 1e-9))
-    used = np.flatnonzero((has >= min(MIN_DOCS, max(1, n // 50))) & (z >= MIN_Z))
-    slot = np.full(BUCKETS, -1, np.int32)
-    slot[used] = np.arange(len(used))
-    size = np.concatenate(lengths)
-    sent_doc = np.repeat(np.arange(n), [len(x) for x in lengths])
-    flat = slot[np.concatenate(words)]
-    sent = np.repeat(np.arange(len(size)), size * FEATURES)[flat >= 0]
-    flat = flat[flat >= 0]
-    # a feature counts once in a sentence
-    pair = np.unique(sent.astype(np.int64) * max(1, len(used)) + flat)
-    sent, flat = pair // max(1, len(used)), pair % max(1, len(used))
     w, bias = np.zeros(len(used)), -float(np.log(max(2.0, len(size) / max(1.0, label.sum()))))
     m, v = np.zeros(len(used) + 1), np.zeros(len(used) + 1)
     for step in range(1, STEPS + 1):
@@ -202,7 +224,8 @@ def held_out(doc_id: Column) -> Column:
 def train(docs: DataFrame, labels: DataFrame, max_docs: int = MAX_TRAIN, id_col: str = "doc_id",
           text_col: str = "text", label_col: str = "toxic") -> Model:
     """The model from labelled documents that are not held out."""
-    return fit(training_sample(docs, labels, max_docs, id_col, text_col, label_col, ~held_out(F.col("id"))))
+    sample = training_sample(docs, labels, max_docs, id_col, text_col, label_col, ~held_out(F.col("id")))
+    return fit(stage(sample, "sample"))
 
 
 def score_documents(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
