@@ -32,11 +32,14 @@ MIN_CANDIDATE = 16
 MIN_SAMPLE = 6
 #: Least mean log-likelihood ratio per character of a found string (nats), and of the whole.
 MIN_MEAN, MIN_SUM = 0.7, 16.0
+#: Weight of a class's character frequencies in each of its transition rows, in counts.
+BACKOFF = 20.0
 
 _ASSIGN = re.compile(ASSIGN, re.IGNORECASE | re.ASCII)
 _ACCESS = re.compile(ACCESS)
 _HEX = re.compile(HEX.replace("+", "{%d,}" % MIN_HEX))  # the same runs: a run is always matched whole
 _CANDIDATE = re.compile(r"[A-Za-z0-9+/_-]{%d,}" % MIN_CANDIDATE)
+_MIXED = re.compile(r"[A-Za-z].*[0-9]|[0-9].*[A-Za-z]|[a-z][A-Z]")
 _N = len(ALPHABET) + 1
 _CODE = np.zeros(256, np.int64)
 _CODE[np.frombuffer(ALPHABET.encode(), np.uint8)] = np.arange(1, _N)
@@ -110,24 +113,27 @@ def train_labelled(samples: DataFrame, string_col: str, label_col: str) -> np.nd
 
 def fit(transitions: DataFrame) -> np.ndarray:
     """Ratio table from (kind, pair, n) rows: at most 2 * 67 * 67 sums reach the driver.
-    Each class is smoothed towards uniform; with no random samples at all that class is
-    uniform over letters and digits."""
+    A transition's probability backs off to its class's character frequencies; the random class is
+    mixed half and half with uniform letters and digits, since keys are drawn from many alphabets."""
     counts = np.zeros((2, _N, _N))
     for kind, pair, n in transitions.groupBy("kind", "pair").agg(F.sum("n").alias("n")).collect():
         counts[kind, pair // _N, pair % _N] = n
-    smooth = counts + 0.5
-    logs = np.log(smooth / smooth.sum(axis=2, keepdims=True))
-    return logs[0] - logs[1]
+    letters = counts.sum(axis=1) + 0.5
+    letters /= letters.sum(axis=1, keepdims=True)
+    p = (counts + BACKOFF * letters[:, None, :]) / (counts.sum(axis=2, keepdims=True) + BACKOFF)
+    uniform = np.zeros(_N)
+    uniform[1:63] = 1 / 62
+    return np.log((p[0] + uniform) / 2) - np.log(p[1])
 
 
 def markov_spans(text: str, taken: list[tuple[int, int, int, int]], ratio: np.ndarray) -> list[tuple[int, int]]:
-    """Candidates outside the base spans whose ratio passes both thresholds. Words of one case
-    and plain numbers are not candidates."""
+    """Candidates outside the base spans whose ratio passes both thresholds. Only
+    strings with a letter and a digit, or with a capital after a small letter, are candidates."""
     out = []
     for m in _CANDIDATE.finditer(text):
         s, e = m.span()
         run = m.group()
-        if run.isdigit() or run.isalpha() and (run[1:].islower() or run.isupper()):
+        if not _MIXED.search(run):
             continue
         if any(a < e and s < b for a, _, b, _ in taken):
             continue
