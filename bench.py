@@ -27,7 +27,7 @@ HEADLINE = [
     "forecast_history_state",    # W5/W6 tails + request joins
     "failure_runs",              # bucketed islands over the request log
     "request_metrics",
-    "forecast_week",             # ridge fit + 7-step recursive forecast
+    "forecast_week_fixed",       # 7-step recursive forecast, fixed linear model
 ]
 
 

@@ -2,7 +2,17 @@
 
 from __future__ import annotations
 
-from demandlake.plans import q_decide, q_eda, q_features, q_io, q_models, q_monitor, q_quality, q_stream  # noqa: F401
+from demandlake.plans import (  # noqa: F401
+    q_decide,
+    q_eda,
+    q_features,
+    q_forecast_fixed,
+    q_io,
+    q_models,
+    q_monitor,
+    q_quality,
+    q_stream,
+)
 from demandlake.plans.registry import REGISTRY
 
 FLAGSHIP = "features_full"
