@@ -23,8 +23,8 @@ MAX_REPEAT_PERCENT = 50
 MIN_GROUP = 200
 SPREADS = 3
 #: metric -> (least spread, whether low values fail too). Per-word rates are per 1000.
-METRICS = {"word_len": (10, True), "symbol_rate": (10, False), "dup_line_rate": (20, False),
-           "repeat_rate": (50, False), "upper_rate": (30, False)}
+METRICS = {"word_len": (30, True), "symbol_rate": (10, False), "dup_line_rate": (150, False),
+           "repeat_rate": (100, False), "upper_rate": (30, False)}
 
 
 def _let(value: Column, body) -> Column:
