@@ -9,11 +9,12 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from demandlake.functions import calendar as cal
 from demandlake.operators.features import waste_pct
+from demandlake.session import cut_lineage
 
 CORR_COLS = [
     "price", "shelf_life_hours", "quantity_available",
@@ -46,37 +47,64 @@ def overview_columns(df: DataFrame) -> DataFrame:
                     ["column", "dtype", "non_null"])
 
 
+def exact_quantiles(df: DataFrame, cols: Sequence[str], probs: Sequence[float] = (0.25, 0.5, 0.75)) -> DataFrame:
+    """(column, q0, q1, ...): exact quantiles with linear interpolation (as pandas), nulls left out.
+
+    Rows are first counted per (column, value); the counts are range-partitioned by value, each
+    partition gets its offset from a table of one row per partition and column, and only the two values
+    around each wanted rank remain. No task holds the values of a whole column."""
+    values = F.explode(F.array(*[F.struct(F.lit(c).alias("column"), F.col(c).cast("double").alias("v")) for c in cols]))
+    counts = df.select(values.alias("x")).select("x.*").where("v is not null").groupBy("column", "v").agg(
+        F.count(F.lit(1)).alias("n"))
+    counts = cut_lineage(counts.repartitionByRange("column", "v").withColumn("part", F.spark_partition_id()))
+    sums = counts.groupBy("column", "part").agg(F.sum("n").alias("n"))
+    before = Window.partitionBy("column").orderBy("part")
+    sums = sums.select("column", "part", (F.sum("n").over(before) - F.col("n")).alias("offset"),
+                       F.sum("n").over(Window.partitionBy("column")).alias("total"))
+    run = F.sum("n").over(Window.partitionBy("column", "part").orderBy("v").rowsBetween(Window.unboundedPreceding, 0))
+    ranked = counts.withColumn("run", run).join(sums, ["column", "part"])
+    last = F.col("offset") + F.col("run") - 1  # ranks from first to last hold this value
+    first = last - F.col("n") + 1
+    aggs = []
+    for i, q in enumerate(probs):
+        at = (F.col("total") - 1) * F.lit(float(q))
+        pick = lambda r: F.max(F.when((first <= r) & (last >= r), F.col("v")))
+        aggs += [pick(F.floor(at)).alias(f"lo{i}"), pick(F.ceil(at)).alias(f"hi{i}"),
+                 F.max(at - F.floor(at)).alias(f"w{i}")]
+    out = ranked.groupBy("column").agg(*aggs)
+    return out.select("column", *[(F.col(f"lo{i}") + (F.col(f"hi{i}") - F.col(f"lo{i}")) * F.col(f"w{i}")).alias(f"q{i}")
+                                  for i in range(len(probs))])
+
+
 def describe(df: DataFrame, cols: Sequence[str] = DESCRIBE_COLS, exact: bool = True) -> DataFrame:
     """A2: count, mean, sample std, min, quartiles, max per column.
 
-    ``exact=True`` uses ``percentile`` (linear interpolation, as pandas),
-    whose buffer holds one counter per distinct value and merges partially;
-    ``exact=False`` uses ``percentile_approx`` for high-cardinality columns."""
+    ``exact=True`` finds the quartiles by ``exact_quantiles``; ``exact=False`` uses
+    ``percentile_approx`` in the same pass as the rest."""
     aggs = []
     for i, c in enumerate(cols):
         v = F.col(c).cast("double")
-        q = (F.percentile(v, [0.25, 0.5, 0.75]) if exact
-             else F.percentile_approx(v, [0.25, 0.5, 0.75], 10000).cast("array<double>"))
         aggs += [
             F.count(v).cast("bigint").alias(f"n_{i}"),
             F.avg(v).alias(f"mean_{i}"),
             F.stddev_samp(v).alias(f"std_{i}"),
             F.min(v).alias(f"min_{i}"),
-            q.alias(f"q_{i}"),
             F.max(v).alias(f"max_{i}"),
         ]
+        if not exact:
+            aggs.append(F.percentile_approx(v, [0.25, 0.5, 0.75], 10000).cast("array<double>").alias(f"a_{i}"))
+    names = ["count", "mean", "std", "min", "max"]
     one = df.agg(*aggs)
-    one = one.select(
-        *[F.col(f"n_{i}") for i in range(len(cols))],
-        *[F.col(f"{k}_{i}") for i in range(len(cols)) for k in ("mean", "std", "min", "max")],
-        *[F.col(f"q_{i}")[j].alias(f"q{j}_{i}") for i in range(len(cols)) for j in range(3)],
-    )
-    return _unpivot(
-        one, list(cols),
-        [[f"n_{i}", f"mean_{i}", f"std_{i}", f"min_{i}", f"q0_{i}", f"q1_{i}", f"q2_{i}", f"max_{i}"]
-         for i in range(len(cols))],
-        ["column", "count", "mean", "std", "min", "p25", "p50", "p75", "max"],
-    )
+    if exact:
+        rows = _unpivot(one, list(cols), [[f"{k}_{i}" for k in ("n", "mean", "std", "min", "max")] for i in range(len(cols))],
+                        ["column", *names])
+        rows = rows.join(exact_quantiles(df, cols), "column", "left")
+    else:
+        one = one.select("*", *[F.col(f"a_{i}")[j].alias(f"q{j}_{i}") for i in range(len(cols)) for j in range(3)])
+        rows = _unpivot(one, list(cols), [[f"{k}_{i}" for k in ("n", "mean", "std", "min", "max", "q0", "q1", "q2")]
+                                          for i in range(len(cols))], ["column", *names, "q0", "q1", "q2"])
+    return rows.select("column", "count", "mean", "std", "min", F.col("q0").alias("p25"), F.col("q1").alias("p50"),
+                       F.col("q2").alias("p75"), "max")
 
 
 def count_by(df: DataFrame, by: str | Sequence[str] = "business_type") -> DataFrame:
