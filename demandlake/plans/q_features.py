@@ -229,8 +229,8 @@ def time_split_summary(spark, sf_dir):
 @register(
     "filter_one_series",
     SALES_COLS,
-    with_sql(SALES_SQL) + "SELECT * FROM sales WHERE business_type = 'Cafe' AND item_name = 'PROMO'",
+    with_sql(SALES_SQL) + "SELECT * FROM sales WHERE business_type = 'Cafe' AND item_name = 'Dish 2'",
 )
 def filter_one_series(spark, sf_dir):
     """equality filters on business and item."""
-    return wn.filter_series(td.load_sales(spark, sf_dir), business_type="Cafe", item_name="PROMO")
+    return wn.filter_series(td.load_sales(spark, sf_dir), business_type="Cafe", item_name="Dish 2")

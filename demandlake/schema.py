@@ -205,6 +205,14 @@ RECOMMEND_TEXT = {
     "MAINTAIN": "Current plan is within the optimal range.",
 }
 
+# Forecast explanation factors and fallback texts.
+FACTOR_WEEKEND_UP = "weekend uplift"
+FACTOR_WEEKEND_DOWN = "weekend drop"
+FACTOR_HOLIDAY = "holiday effect"
+FACTOR_RAIN = "rainy weather"
+FALLBACK_CACHED_TEXT = "Model temporarily unavailable - showing last valid forecast"
+FALLBACK_DEFAULT_TEXT = "Model unavailable. Please use recent sales history as a guide."
+
 # Accuracy report texts.
 DEGRADED_TEXT = "Model accuracy degraded - consider retraining."
 NO_RECORDS_TEXT = "No matching records found."
