@@ -179,7 +179,7 @@ class Pieces:
         differ in segmentation k. Fewer than n where the lattice has fewer paths; empty text has the one of no piece."""
         words = self.words(text)
         units = self.units
-        coded, scores, leads = zip(*[units[w] for w in words], strict=True) if words else ((), (), ())
+        coded, scores, leads = zip(*map(units.__getitem__, words), strict=True) if words else ((), (), ())
         ids, lists = b"".join(coded), [(float(sum(scores)), {})]
         if n > 1 and words:
             leads = np.array(leads)
@@ -212,8 +212,7 @@ class Pieces:
 
     def decode(self, ids: np.ndarray) -> str:
         """The text of a segmentation, without the dummy space."""
-        table = self.decoded
-        return b"".join([table[i] for i in ids.tolist()])[1:].decode("utf-8", "replace")
+        return b"".join(map(self.decoded.__getitem__, ids.tolist()))[1:].decode("utf-8", "replace")
 
 
 @lru_cache(maxsize=2)
@@ -229,9 +228,10 @@ def default_model() -> str:
 
 
 def encode_documents(docs: DataFrame, model_path: str | None = None, n: int = 4, id_col: str = "doc_id",
-                     text_col: str = "text") -> DataFrame:
-    """(doc_id, ids: array<int> of the best segmentation, scores: the n best, best first; restored:
-    whether decoding gives the text back), one row per row. Null counts as empty: no ids, one score of 0.
+                     text_col: str = "text", with_ids: bool = True) -> DataFrame:
+    """(doc_id, ids: array<int> of the best segmentation, n_pieces, ids_crc32 (of the ids as little-endian unsigned
+    32-bit integers), scores: the n best, best first; restored: whether decoding gives the text back), one
+    row per row. Without ``with_ids`` the ids stay in the tasks. Null counts as empty: no ids, one score of 0.
     A text with U+2581 is not restored: the model spells a space that way. Repeated rows and null ids are kept;
     an empty table gives no rows; extra columns are ignored."""
     model_path = model_path or default_model()
@@ -247,34 +247,27 @@ def encode_documents(docs: DataFrame, model_path: str | None = None, n: int = 4,
                     text = texts[hi].as_py() or ""
                     ids, scores, _ = lattice.encode(text, n)
                     flat = np.frombuffer(ids, "<u4")
-                    rows.append((flat, scores, lattice.decode(flat) == text))
+                    rows.append((flat, scores, lattice.decode(flat) == text, zlib.crc32(ids)))
                     size += len(text)
                     hi += 1
-                ends = np.cumsum([0] + [len(r[0]) for r in rows])
-                ids_array = pa.ListArray.from_arrays(pa.array(ends, pa.int32()),
-                                                     pa.array(np.concatenate([r[0] for r in rows]).astype(np.int32)))
-                yield pa.RecordBatch.from_arrays(
-                    [batch.column(0)[lo:hi], ids_array, pa.array([r[1] for r in rows], pa.list_(pa.float64())),
-                     pa.array([r[2] for r in rows])], ["doc_id", "ids", "scores", "restored"])
+                counts = [len(r[0]) for r in rows]
+                columns = {"doc_id": batch.column(0)[lo:hi]}
+                if with_ids:
+                    flat = np.concatenate([r[0] for r in rows]).astype(np.int32)
+                    columns["ids"] = pa.ListArray.from_arrays(pa.array(np.cumsum([0, *counts]), pa.int32()), pa.array(flat))
+                columns |= {"n_pieces": pa.array(counts, pa.int64()), "ids_crc32": pa.array([r[3] for r in rows], pa.int64()),
+                            "scores": pa.array([r[1] for r in rows], pa.list_(pa.float64())),
+                            "restored": pa.array([r[2] for r in rows])}
+                yield pa.RecordBatch.from_arrays(list(columns.values()), list(columns))
                 lattice.units.trim()
                 lattice.parts.trim()
                 lattice.options.trim()
                 lo = hi
 
-    schema = f"doc_id {docs.schema[id_col].dataType.simpleString()}, ids array<int>, scores array<double>, restored boolean"
+    schema = (f"doc_id {docs.schema[id_col].dataType.simpleString()}, " + "ids array<int>, " * with_ids
+              + "n_pieces bigint, ids_crc32 bigint, scores array<double>, restored boolean")
     return docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, schema)
 
 
-def digest(encoded: DataFrame) -> DataFrame:
-    """(doc_id, n_pieces, ids_crc32, scores, restored) of encoded documents."""
-
-    @F.arrow_udf("bigint")
-    def crc(ids: pa.Array) -> pa.Array:
-        return pa.array([zlib.crc32(np.asarray(x.values, dtype="<u4").tobytes()) for x in ids], pa.int64())
-
-    return encoded.select("doc_id", F.size("ids").cast("bigint").alias("n_pieces"), crc("ids").alias("ids_crc32"),
-                          "scores", "restored")
-
-
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return digest(encode_documents(read_table(spark, sf_dir, "documents")))
+    return encode_documents(read_table(spark, sf_dir, "documents"), with_ids=False)

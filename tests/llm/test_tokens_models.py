@@ -203,7 +203,11 @@ def test_documents_are_restored(spark):
         assert x.restored == (x.doc_id != 31) and len(x.scores) <= 3 and x.scores == sorted(x.scores, reverse=True)
         if x.doc_id in (1, 2):
             assert (x.ids, x.scores) == ([], [0.0])
-    assert nbest.digest(nbest.encode_documents(spark.createDataFrame([], DDL))).count() == 0
+        assert (x.n_pieces, x.ids_crc32) == (len(x.ids), zlib.crc32(np.array(x.ids, "<u4").tobytes()))
+    short = nbest.encode_documents(spark.createDataFrame(rows, DDL), n=3, with_ids=False)
+    assert "ids" not in short.columns
+    assert sorted(x.ids_crc32 for x in short.collect()) == sorted(x.ids_crc32 for x in got)
+    assert nbest.encode_documents(spark.createDataFrame([], DDL)).count() == 0
 
 
 # -- op7 ---------------------------------------------------------------------------
