@@ -149,10 +149,11 @@ class Pieces:
         """The n best segmentations (score, ids), by backward A-star."""
         ending = self.edges(part)
         best, _ = self.forward(ending)
-        heap = [(-best[-1], 0, len(part), 0.0, None)]
+        # of equal priorities the one nearest to the start goes on: ties cannot spread
+        heap = [(-best[-1], len(part), 0, 0.0, None)]
         out, count = [], 0
         while heap and len(out) < n:
-            _, _, j, tail, rest = heapq.heappop(heap)
+            _, j, _, tail, rest = heapq.heappop(heap)
             if j == 0:
                 ids: list[int] = []
                 while rest:
@@ -162,7 +163,7 @@ class Pieces:
                 continue
             for i, v, k in ending[j]:
                 count += 1
-                heapq.heappush(heap, (-(best[i] + v + tail), count, i, v + tail, (k, rest)))
+                heapq.heappush(heap, (-(best[i] + v + tail), i, count, v + tail, (k, rest)))
         return out
 
     def words(self, text: str) -> list[str]:

@@ -186,6 +186,11 @@ def test_nbest_equals_enumeration(lattice):
             assert len({tuple(i) for _, i in got}) == len(got) and all((s, tuple(i)) in want for s, i in got)
 
 
+def test_long_runs_of_one_letter_end(lattice):
+    ids, scores, _ = lattice.encode("x" * 20_000, 4)
+    assert len(scores) == 4 and scores == sorted(scores, reverse=True) and lattice.decode(np.frombuffer(ids, "<u4")) == "x" * 20_000
+
+
 def test_memo_is_bounded_and_right():
     calls = []
     memo = Memo(lambda k: calls.append(k) or k * 2, 10)
