@@ -224,8 +224,8 @@ def toxic_rows(n=500):
         bad = rnd.random() < 0.3
         if bad:
             s[rnd.randrange(len(s))] += rnd.choice([" vilefulness", " vilefully", " nastyword"]) + " " + words(1, i)[0]
-        rows.append(row(i, ". ".join(s)))
-        labels.append((i, int(bad)))
+        rows.append(row(1000 + i, ". ".join(s)))
+        labels.append((1000 + i, int(bad)))
     return rows, labels
 
 
