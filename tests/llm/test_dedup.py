@@ -125,6 +125,35 @@ def test_passages_are_found_and_clean_documents_left_alone(spark):
     assert sorted(map(tuple, again)) == sorted(map(tuple, got))  # not dependent on partitions
 
 
+def planted(n: int, spots, seed: int) -> tuple[list[str], list[str]]:
+    """A passage of n words and its copy with the words at ``spots`` changed."""
+    old = words(n, seed)
+    return old, ["edit%d" % i if i in spots else w for i, w in enumerate(old)]
+
+
+def test_edited_passages_are_found(spark):
+    r = random.Random(4)
+    cases = [(f"{n} every {gap}", n, lambda n=n, gap=gap: set(range(gap - 1, n, gap)))
+             for n in (60, 80) for gap in (8, 10)]
+    cases += [(f"80 random {share}", 80, lambda share=share: set(r.sample(range(80), round(80 * (1 - share)))))
+              for share in (0.8, 0.85, 0.9, 0.95)]
+    rows, want, doc = [], {}, 0
+    for name, n, spots in cases:
+        for _ in range(40):
+            old, new = planted(n, spots(), 20_000 + doc)
+            for text in (old, new):
+                rows.append(row(doc, " ".join(words(50, 40_000 + doc) + text + words(50, 60_000 + doc))))
+                doc += 1
+            want[doc - 1] = name
+    found = {x.doc_id: x for x in chaining.repeated_passages(spark.createDataFrame(rows, DDL).repartition(6)).collect()}
+    assert set(found) <= set(want) and all(x.first_ids == [x.doc_id - 1] for x in found.values())
+    recall = {name: sum(d in found for d, x in want.items() if x == name) / 40 for name, *_ in cases}
+    print(recall)
+    assert all(share == 1 for name, share in recall.items() if "every" in name)
+    assert all(recall[f"80 random {share}"] >= least for share, least in ((0.8, 0.8), (0.85, 0.9), (0.9, 1), (0.95, 1)))
+    assert all(x.from_word >= 48 and x.to_word <= 132 for x in found.values())
+
+
 def test_chain_equals_quadratic_dynamic_program():
     r = random.Random(8)
     for _ in range(60):
