@@ -154,6 +154,29 @@ def test_edited_passages_are_found(spark):
     assert all(x.from_word >= 48 and x.to_word <= 132 for x in found.values())
 
 
+def test_passages_of_phrases_that_stand_first_elsewhere(spark):
+    stock = words(54, 80)
+    rows = [row(k, " ".join(words(60, 810 + k) + stock[7 * k:7 * k + 12] + words(60, 820 + k))) for k in range(7)]
+    rows += [row(k, " ".join(words(20, 830 + k) + stock + words(20, 840 + k))) for k in (10, 11)]
+    rows.append(row(12, " ".join(words(50, 850) + stock[:12] + words(50, 851))))  # one short phrase is no passage
+    got = chaining.repeated_passages(spark.createDataFrame(rows, DDL).repartition(3)).collect()
+    assert sorted((x.doc_id, x.from_word, x.to_word, x.first_ids) for x in got) == [
+        (k, 20, 74, list(range(7))) for k in (10, 11)]
+
+
+def test_extension_of_many_rows_equals_one_by_one():
+    r = np.random.default_rng(5)
+    b, a = r.integers(0, 3, 4000).astype(np.uint32), r.integers(0, 3, 4000).astype(np.uint32)
+    b[1000:3000] = a[1003:3003]
+    b[r.integers(0, 4000, 300)] = 9
+    at, n = r.integers(40, 3900, (2, 500)), r.integers(0, chaining.MARGIN + 1, (2, 500))
+    at[1] = np.where(np.arange(500) % 2, at[0] + 3, at[1])
+    for way in (1, -1):
+        got = np.stack(chaining.extend_rows(b, at[0], n[0], a, at[1], n[1], way)).T.tolist()
+        cut = lambda w, s, k: w[s:s + k] if way > 0 else w[s - k + 1:s + 1][::-1]
+        assert got == [list(chaining.extend(cut(b, s, k), cut(a, t, m))) for s, t, k, m in zip(*at, *n, strict=True)]
+
+
 def test_chain_equals_quadratic_dynamic_program():
     r = random.Random(8)
     for _ in range(60):
