@@ -24,7 +24,7 @@ from struct import pack
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from demandlake.llm.memo import Memo
@@ -175,13 +175,17 @@ class Pieces:
             words = [u if u.startswith(SPACE * 2) or len(u) == 1 else u[1:] for u in units]
         return words
 
-    def encode(self, text: str, n: int) -> tuple[bytes, list[float], list[dict[int, tuple[int, ...]]]]:
-        """(ids of the best segmentation, the n best scores, changes): change k maps part numbers to the ids that
+    def encode(self, text: str, n: int) -> tuple[bytes, list[float], list[dict[tuple[int, int], tuple[int, ...]]]]:
+        """(ids of the best segmentation, the n best scores, changes): change k maps (word, part) numbers to the ids that
         differ in segmentation k. Fewer than n where the lattice has fewer paths; empty text has the one of no piece."""
-        words = self.words(text)
+        coded, scores, changes = self.search(self.words(text), n)
+        return b"".join(coded), scores, changes
+
+    def search(self, words: list[str], n: int) -> tuple[tuple[bytes, ...], list[float], list[dict[tuple[int, int], tuple[int, ...]]]]:
+        """``encode`` of a text's ``words``, with the ids of each word."""
         units = self.units
         coded, scores, leads = zip(*map(units.__getitem__, words), strict=True) if words else ((), (), ())
-        ids, lists = b"".join(coded), [(float(sum(scores)), {})]
+        lists = [(float(sum(scores)), {})]
         if n > 1 and words:
             leads = np.array(leads)
             m = min(n - 1, len(leads))
@@ -191,13 +195,32 @@ class Pieces:
             pick = np.concatenate((np.flatnonzero(leads < bound), np.flatnonzero(leads == bound)))[:m]
             for w in sorted(int(x) for x in pick if np.isfinite(leads[x])):
                 word = words[w]
-                for p, part in enumerate(self.split(word if word.startswith(SPACE) else SPACE + word)):
+                for p, part in enumerate(self.split_word(word)):
                     options = self.options[part, n]
                     top = options[0][0]
                     lists = heapq.nsmallest(n, [
                         (score + s - top, change | ({(w, p): k} if r else {}))
                         for score, change in lists for r, (s, k) in enumerate(options)], key=lambda x: -x[0])
-        return ids, [s for s, _ in lists], [c for _, c in lists]
+        return coded, [s for s, _ in lists], [c for _, c in lists]
+
+    def split_word(self, word: str) -> list[str]:
+        """Parts of a word of ``words``."""
+        return self.split(word if word.startswith(SPACE) else SPACE + word)
+
+    def encode_edits(self, text: str, n: int) -> tuple[bytes, list[float], list[list[tuple[int, int, tuple[int, ...]]]]]:
+        """(ids of the best segmentation, the n best scores, edits): edit list k - 1 has (from, to, ids) in order, the pieces of
+        the best segmentation that segmentation k replaces and what it has there."""
+        words = self.words(text)
+        coded, scores, changes = self.search(words, n)
+        edits: list[list] = [[] for _ in changes[1:]]
+        if any(changes):
+            ends = np.cumsum([0, *map(len, coded)]) // 4
+            spans = {}
+            for w, p in {k for c in changes for k in c}:
+                sizes = [len(self.parts[part][0]) // 4 for part in self.split_word(words[w])[:p + 1]]
+                spans[w, p] = int(ends[w]) + sum(sizes[:p]), int(ends[w]) + sum(sizes)
+            edits = [[(*spans[k], change[k]) for k in sorted(change)] for change in changes[1:]]
+        return b"".join(coded), scores, edits
 
     def segmentations(self, text: str, n: int) -> list[tuple[float, list[int]]]:
         """The n best segmentations of a text, with their ids."""
@@ -206,7 +229,7 @@ class Pieces:
         for score, change in zip(scores, changes, strict=True):
             row: list[int] = []
             for w, word in enumerate(words):
-                for p, part in enumerate(self.split(word if word.startswith(SPACE) else SPACE + word)):
+                for p, part in enumerate(self.split_word(word)):
                     row += change.get((w, p)) or np.frombuffer(self.parts[part][0], "<u4").tolist()
             out.append((score, row))
         return out
@@ -228,11 +251,17 @@ def default_model() -> str:
     return public_tokenizers.path("piece_bpe_32k.model")
 
 
+EDIT = ("from_piece", "to_piece", "ids")
+OTHERS_TYPE = "array<array<struct<from_piece: int, to_piece: int, ids: array<int>>>>"
+OTHERS = pa.list_(pa.list_(pa.struct(list(zip(EDIT, (pa.int32(), pa.int32(), pa.list_(pa.int32())), strict=True)))))
+
+
 def encode_documents(docs: DataFrame, model_path: str | None = None, n: int = 4, id_col: str = "doc_id",
                      text_col: str = "text", with_ids: bool = True) -> DataFrame:
-    """(doc_id, ids: array<int> of the best segmentation, n_pieces, ids_crc32 (of the ids as little-endian unsigned
+    """(doc_id, ids: array<int> of the best segmentation, others: for each of segmentations 2 .. n, best first, the pieces
+    ``ids[from_piece:to_piece]`` that it replaces, in order, and the ids it has there (``segmentation`` makes it whole), n_pieces, ids_crc32 (of the ids as little-endian unsigned
     32-bit integers), scores: the n best, best first; restored: whether decoding gives the text back), one
-    row per row. Without ``with_ids`` the ids stay in the tasks. Null counts as empty: no ids, one score of 0.
+    row per row. Without ``with_ids`` the ids and others stay in the tasks. Null counts as empty: no ids, one score of 0.
     A text with U+2581 is not restored: the model spells a space that way. Repeated rows and null ids are kept;
     an empty table gives no rows; extra columns are ignored."""
     model_path = model_path or default_model()
@@ -246,9 +275,9 @@ def encode_documents(docs: DataFrame, model_path: str | None = None, n: int = 4,
                 rows, size, hi = [], 0, lo
                 while hi < len(texts) and size < 1 << 20:
                     text = texts[hi].as_py() or ""
-                    ids, scores, _ = lattice.encode(text, n)
+                    ids, scores, edits = lattice.encode_edits(text, n)
                     flat = np.frombuffer(ids, "<u4")
-                    rows.append((flat, scores, lattice.decode(flat) == text, zlib.crc32(ids)))
+                    rows.append((flat, scores, lattice.decode(flat) == text, zlib.crc32(ids), edits))
                     size += len(text)
                     hi += 1
                 counts = [len(r[0]) for r in rows]
@@ -256,6 +285,8 @@ def encode_documents(docs: DataFrame, model_path: str | None = None, n: int = 4,
                 if with_ids:
                     flat = np.concatenate([r[0] for r in rows]).astype(np.int32)
                     columns["ids"] = pa.ListArray.from_arrays(pa.array(np.cumsum([0, *counts]), pa.int32()), pa.array(flat))
+                    columns["others"] = pa.array([[[dict(zip(EDIT, e, strict=True)) for e in change] for change in r[4]]
+                                                  for r in rows], OTHERS)
                 columns |= {"n_pieces": pa.array(counts, pa.int64()), "ids_crc32": pa.array([r[3] for r in rows], pa.int64()),
                             "scores": pa.array([r[1] for r in rows], pa.list_(pa.float64())),
                             "restored": pa.array([r[2] for r in rows])}
@@ -265,10 +296,37 @@ def encode_documents(docs: DataFrame, model_path: str | None = None, n: int = 4,
                 lattice.options.trim()
                 lo = hi
 
-    schema = (f"doc_id {docs.schema[id_col].dataType.simpleString()}, " + "ids array<int>, " * with_ids
+    schema = (f"doc_id {docs.schema[id_col].dataType.simpleString()}, " + f"ids array<int>, others {OTHERS_TYPE}, " * with_ids
               + "n_pieces bigint, ids_crc32 bigint, scores array<double>, restored boolean")
     return docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, schema)
 
 
+def segmentation(k: int, ids: str = "ids", others: str = "others") -> Column:
+    """The ids of the k-th best segmentation (from 1) in rows of ``encode_documents``; null where there are fewer."""
+    if k == 1:
+        return F.col(ids)
+    edits = F.get(F.col(others), k - 2)
+    put = lambda row, e: F.concat(F.slice(row, F.lit(1), e["from_piece"]), e["ids"],
+                                  F.slice(row, e["to_piece"] + 1, F.size(row)))
+    return F.when(edits.isNotNull(), F.aggregate(F.reverse(edits), F.col(ids), put))
+
+
+def decode_documents(encoded: DataFrame, model_path: str | None = None, id_col: str = "doc_id",
+                     ids_col: str = "ids") -> DataFrame:
+    """(doc_id, text) of piece ids, such as those of ``encode_documents`` (``segmentation`` for the others), one row per row.
+    Null ids give a null text, no ids the empty one; an empty table gives no rows; extra columns are ignored."""
+    model_path = model_path or default_model()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        lattice = pieces(model_path)
+        for batch in batches:
+            ids = batch.column(1)
+            texts = [lattice.decode(x.values.to_numpy(zero_copy_only=False)) if x.is_valid else None for x in ids]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.string())], ["doc_id", "text"])
+
+    schema = f"doc_id {encoded.schema[id_col].dataType.simpleString()}, text string"
+    return encoded.select(F.col(id_col).alias("doc_id"), F.col(ids_col).cast("array<int>").alias("ids")).mapInArrow(run, schema)
+
+
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return encode_documents(read_table(spark, sf_dir, "documents"), with_ids=False)
+    return encode_documents(read_table(spark, sf_dir, "documents"))

@@ -215,6 +215,23 @@ def test_documents_are_restored(spark):
     assert nbest.encode_documents(spark.createDataFrame([], DDL)).count() == 0
 
 
+def test_all_segmentations_are_in_the_table_and_decode(spark, lattice, tmp_path):
+    rows = odd_rows() + [row(30, "a  b \n c\td 漢 😀 é"), row(32, "the antitheses were unbelievable, thean inqg")]
+    df = spark.createDataFrame(rows, DDL).repartition(3)
+    got = nbest.encode_documents(df, n=4).withColumns({f"seg{k}": nbest.segmentation(k) for k in range(1, 5)})
+    texts = {x[0]: x[1] for x in rows if x[0] is not None and x[0] != 7}
+    for x in got.filter(F.col("doc_id").isin(list(texts))).collect():
+        want = lattice.segmentations(texts[x.doc_id] or "", 4)
+        assert [x[f"seg{k}"] for k in range(1, 5)] == [i for _, i in want] + [None] * (4 - len(want))
+    for k in (1, 3):
+        part = got.filter(f"seg{k} is not null")
+        back = nbest.decode_documents(part, ids_col=f"seg{k}").collect()
+        assert len(back) == part.count() and all(x.text == (texts[x.doc_id] or "") for x in back if x.doc_id in texts)
+    assert nbest.decode_documents(got.select("doc_id", F.lit(None).alias("ids"))).filter("text is null").count() == len(rows)
+    df.write.parquet(f"{tmp_path}/documents.parquet")
+    assert {"ids", "others"} <= set(nbest.query(spark, str(tmp_path)).columns)
+
+
 # -- op7 ---------------------------------------------------------------------------
 
 def toxic_rows(n=500):
