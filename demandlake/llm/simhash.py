@@ -78,19 +78,20 @@ def ball_links(fps: DataFrame, max_distance: int = 2) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 3,
-                    max_distance: int = 2, keep: tuple[str, ...] = ()) -> DataFrame:
-    """One row per input row: ``row_id``, ``doc_id``, ``fp`` (long), ``component_id``,
-    ``first`` and the columns ``keep``.
+                    max_distance: int = 2, row_col: str | None = None) -> DataFrame:
+    """One row per input row: ``row_id``, ``doc_id``, ``fp`` (long), ``component_id`` and ``first``.
 
     ``component_id`` is the smallest id reachable over fingerprints within
     ``max_distance`` bits; ``first`` marks one row per component (smallest id, then
-    smallest ``row_id``, which numbers the input rows).
+    smallest ``row_id``, which numbers the input rows or is the column ``row_col``, unique longs). Texts travel to the
+    fingerprint only; every later step carries ids and fingerprints.
     Null and empty texts have fingerprint 0 and are linked like any other. Null ids
     sort last: a component of null ids only has a null ``component_id``. Repeated rows
-    share a component. An empty table gives no rows. Extra columns are ignored unless
-    named in ``keep``; those must not clash with the result's names."""
-    rows = docs.select(F.monotonically_increasing_id().alias("row_id"), F.col(id_col).alias("doc_id"),
-                       fingerprint(F.col(text_col), words).alias("fp"), *[F.col(c) for c in keep])
+    share a component. Very long texts are hashed in bounded parts. An empty table gives no rows. Extra columns,
+    whatever their names, are ignored."""
+    number = F.col(row_col) if row_col else F.monotonically_increasing_id()
+    rows = docs.select(number.alias("row_id"), F.col(id_col).alias("doc_id"),
+                       fingerprint(F.col(text_col), words).alias("fp"))
     rows = stage(rows, "fingerprints")
     rank = F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("id"), F.col("row_id").alias("row"))
     classes = rows.groupBy("fp").agg(F.min(rank).alias("low"))
@@ -102,17 +103,20 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     heads = classes.join(lows, "component").select("fp", "first")
     out = rows.join(heads, "fp")
     return out.select("row_id", "doc_id", "fp", F.col("first")["id"].alias("component_id"),
-                      (F.col("row_id") == F.col("first")["row"]).alias("first"), *keep)
+                      (F.col("row_id") == F.col("first")["row"]).alias("first"))
 
 
 def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 3,
                          max_distance: int = 2) -> DataFrame:
     """``docs`` with one row of each near-duplicate component (see ``near_duplicates``),
     all columns unchanged; any column names are allowed."""
-    packed = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"),
-                         F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("whole"))
-    rows = near_duplicates(packed, "doc_id", "text", words, max_distance, keep=("whole",))
-    return rows.filter("first").select("whole.*")
+    rows = stage(docs.select(F.monotonically_increasing_id().alias("row_id"),
+                             F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("whole")), "rows")
+    whole = F.col("whole")
+    found = near_duplicates(rows.select("row_id", whole[id_col].alias("doc_id"), whole[text_col].alias("text")),
+                            "doc_id", "text", words, max_distance, row_col="row_id")
+    gone = stage(found.filter("not first").select("row_id"), "superfluous")  # a table, so its size is known
+    return rows.join(gone, "row_id", "left_anti").select("whole.*")
 
 
 def query(spark, sf_dir: str) -> DataFrame:
