@@ -34,8 +34,10 @@ from demandlake.llm.shared import read_table, work_path
 MAGIC = b"DACS0001"
 END_ID = 2
 SEGMENT_TOKENS = 1 << 18
+#: characters of text encoded together
+CHUNK = 1 << 23
 BLOCK = 512
-MEMO_LIMIT = 400_000
+MEMO_LIMIT = 300_000
 FILE_SCHEMA = "part int, part_start bigint, n_docs bigint, n_tokens bigint, payload binary"
 
 
@@ -110,59 +112,98 @@ class Segment:
 
 # -- encoding ----------------------------------------------------------------------
 
-_TAIL = re.compile(rb"(.*[a-z0-9])([.,!?;:|%&$#*()\"]+)", re.DOTALL)
-_PLAIN = re.compile(r"[a-zß-öø-ÿÀ-ÖØ-Þ]+")
+_PLAIN = re.compile(r"[a-zß-öø-ÿ]+")
+_SPACE, _MARK, _INK = 0, 1, 2
+#: plain words encoded in one call
+_TOGETHER = 200
+
+
+def _byte_kinds() -> np.ndarray:
+    kinds = np.full(256, _INK, np.uint8)
+    kinds[list(b" \t\n\x0b\x0c\r")] = _SPACE
+    kinds[list(b".,!?;:|%&$#*()\"")] = _MARK
+    return kinds
+
+
+_KINDS = _byte_kinds()
+_LOWER = np.frombuffer(bytes(range(256)).lower(), np.uint8)
+_ALNUM = np.array([chr(b).isalnum() and b < 128 for b in range(256)])
+
+
+def _units(data: np.ndarray, cuts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The units of lower-cased texts that stand one after another (text k is ``data[cuts[k]:cuts[k + 1]]``):
+    their bytes without the white space between, where each starts in these, and the first unit of each text.
+
+    A unit ends at ASCII white space and where an ASCII letter or digit meets ASCII punctuation."""
+    kind, alnum = _KINDS[data], _ALNUM[data]
+    new = np.ones(len(data) + 1, bool)
+    a, b = kind[:-1], kind[1:]
+    new[1:-1] = (a == _SPACE) | ((a == _INK) & (b == _MARK) & alnum[:-1]) | ((a == _MARK) & (b == _INK) & alnum[1:])
+    new[cuts] = True
+    ink = kind != _SPACE
+    starts = np.flatnonzero(new[:-1] & ink)
+    place = np.cumsum(ink)
+    return data[ink], np.append(place[starts] - 1, ink.sum()), np.searchsorted(starts, cuts)
 
 
 class WordEncoder:
     """Ids of texts by a word-level tokenizer that drops white space and folds case.
 
-    The words between ASCII white space encode independently of each other, as do a
-    word and ASCII punctuation after its last ASCII letter or digit; so the ids of a word are
-    kept in a bounded memo and each text joins them. A text with "<|", which
-    may name a special token, goes to the tokenizer whole."""
+    Units of a text (see ``_units``) encode independently of each other, so the distinct units of many texts are
+    found by Arrow, those not in a bounded memo are encoded, and the ids are put together by index. A text with
+    "<|", which may name a special token, goes to the tokenizer whole."""
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.words = Memo(self._one, MEMO_LIMIT)
-
-    def _ids(self, text: str) -> bytes:
-        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
-
-    def _one(self, word: bytes) -> bytes:
-        m = _TAIL.fullmatch(word)
-        return self.words[m[1]] + self.words[m[2]] if m else self._ids(word.decode())
-
-    def _learn(self, lists: list[list[bytes]]) -> None:
-        """Encodes the new words of letters only in one call: each is one word of the tokenizer."""
-        known, older = self.words, self.words.older
-        new = set()
-        for words in lists:
-            new.update([w for w in words if w not in known])
-        cores = {(m[1] if (m := _TAIL.fullmatch(w)) else w) for w in new}
-        plain = [c for c in cores if c not in known and c not in older and _PLAIN.fullmatch(c.decode())]
-        for lo in range(0, len(plain), 2000):
-            part = plain[lo:lo + 2000]
-            found = self.tokenizer.encode(b" ".join(part).decode(), add_special_tokens=False)
-            owner, ids = np.array(found.word_ids), np.array(found.ids, "<u4")
-            if owner[-1] != len(part) - 1:
-                continue  # some word is not one word for the tokenizer: each is encoded alone
-            ends = np.searchsorted(owner, np.arange(len(part) + 1))
-            raw = ids.tobytes()
-            known.update((w, raw[4 * a:4 * b]) for w, a, b in zip(part, ends, ends[1:], strict=False))
+        self.words = Memo(self._ids, MEMO_LIMIT)
+        vocabulary = self.tokenizer.get_vocab()
+        self.closes = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.closes[[i for piece, i in vocabulary.items() if piece.endswith("</w>")]] = True
+
+    def _ids(self, text: bytes) -> bytes:
+        return np.array(self.tokenizer.encode(text.decode(), add_special_tokens=False).ids, "<u4").tobytes()
+
+    def _learn(self, new: list[bytes]) -> None:
+        """Encodes new units. Each of letters only is one word of the tokenizer, closed by one piece, so
+        many of them are encoded as one text."""
+        known = self.words
+        plain = [w for w in new if _PLAIN.fullmatch(w.decode())]
+        for lo in range(0, len(plain), _TOGETHER):
+            part = plain[lo:lo + _TOGETHER]
+            ids = np.array(self.tokenizer.encode(b" ".join(part).decode(), add_special_tokens=False).ids, "<u4")
+            ends = np.flatnonzero(self.closes[ids]) + 1
+            if len(ends) != len(part):
+                continue  # some unit is not one word for the tokenizer: each is encoded alone
+            raw, a = ids.tobytes(), 0
+            for w, b in zip(part, ends.tolist(), strict=True):
+                known[w] = raw[4 * a:4 * b]
+                a = b
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Ids of each text as unsigned 32-bit integers, without an end id."""
         raw = [t.encode("utf-8", "replace") for t in texts]
-        lists = [[] if b"<|" in r else r.lower().split() for r in raw]
-        self._learn(lists)
-        words = self.words
-        out = [self._ids(t) if b"<|" in r else b"".join([words[w] for w in ws])
-               for t, r, ws in zip(texts, raw, lists, strict=True)]
+        special = {k for k, r in enumerate(raw) if b"<|" in r}
+        cuts = np.cumsum([0] + [0 if k in special else len(r) for k, r in enumerate(raw)])
+        data = _LOWER[np.frombuffer(b"".join(r for k, r in enumerate(raw) if k not in special), np.uint8)]
+        ink, starts, first = _units(data, cuts)
+        units = pa.LargeBinaryArray.from_buffers(
+            pa.large_binary(), len(starts) - 1, [None, pa.py_buffer(starts), pa.py_buffer(ink)]).dictionary_encode()
+        distinct, words = units.dictionary.to_pylist(), self.words
         words.trim()
-        return out
+        self._learn([w for w in distinct if w not in words and w not in words.older])
+        coded = [words[w] for w in distinct]
+        flat = np.frombuffer(b"".join(coded), "<u4")
+        size = np.fromiter(map(len, coded), np.int64, len(coded)) // 4
+        at = units.indices.to_numpy()
+        count = size[at]
+        ends = np.cumsum(count)
+        total = int(ends[-1]) if len(ends) else 0
+        shift = (np.cumsum(size) - size)[at] - (ends - count)
+        out = flat[np.arange(total) + np.repeat(shift, count)].tobytes()
+        bounds = (4 * np.concatenate(([0], ends))[first]).tolist()
+        return [self._ids(r) if k in special else out[bounds[k]:bounds[k + 1]] for k, r in enumerate(raw)]
 
 
 @lru_cache(maxsize=2)
@@ -209,7 +250,7 @@ def write_tokens(docs: DataFrame, path: str, tokenizer_path: str | None = None,
             lo, texts, ids = 0, batch.column(1), batch.column(0).to_pylist()
             while lo < len(texts):
                 some, chars, hi = [], 0, lo
-                while hi < len(texts) and chars < 1 << 19:
+                while hi < len(texts) and chars < CHUNK:
                     some.append(texts[hi].as_py() or "")
                     chars += len(some[-1])
                     hi += 1
