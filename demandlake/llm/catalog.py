@@ -3,12 +3,15 @@
 from __future__ import annotations
 
 from demandlake.llm import (
+    alignment,
     chaining,
     dac,
     decontam,
+    langid,
     licenses,
     markov_secrets,
     nbest,
+    prefixtrie,
     quality,
     simhash,
     tokencounts,
@@ -26,6 +29,9 @@ QUERIES = {
     "op8_secret_scan": markov_secrets.query,
     "op9_decontamination": decontam.query,
     "op10_license_scan": licenses.query,
+    "op11_tokenizer_alignment": alignment.query,
+    "op12_prefix_trie": prefixtrie.query,
+    "op13_language_id": langid.query,
 }
 
 SQL = {

@@ -16,7 +16,7 @@ DOCS = "doc_id bigint, text string, lang string, source string, n_chars bigint"
 def test_registry():
     names = set(entry.queries())
     assert set(catalog.QUERIES) | {"pipeline"} <= names and set(catalog.SQL) <= set(catalog.QUERIES)
-    assert sorted(int(n[2:].split("_")[0]) for n in catalog.QUERIES) == list(range(1, 11))
+    assert sorted(int(n[2:].split("_")[0]) for n in catalog.QUERIES) == list(range(1, 14))
 
 
 def test_stages_one_by_one(spark, tmp_path):
