@@ -94,10 +94,12 @@ def sales_row_rules(df: DataFrame, date_col: str = "date") -> list[tuple[str, st
 
 
 def quality_checks(df: DataFrame, dup_keys: Sequence[str] = ("date", "item_name"),
-                   date_col: str = "date", with_totals: bool = False) -> DataFrame:
+                   date_col: str = "date", with_totals: bool = False, malformed: DataFrame | None = None,
+                   ) -> DataFrame:
     """Q1-Q11 as a long table (rule, level, n_failed), one aggregation pass
     for the row rules plus one grouped aggregate for duplicates. ``with_totals``
-    adds the row ``TOTALS`` (level: date range, n_failed: row count)."""
+    adds the row ``TOTALS`` (level: date range, n_failed: row count). ``malformed``, the
+    quarantine of ``sources.uploads``, adds the rule malformed_line."""
     spark = df.sparkSession
     rules = sales_row_rules(df, date_col)
     aggs = [F.count_if(pred).cast("bigint").alias(f"r{i}") for i, (_, _, pred) in enumerate(rules)]
@@ -125,6 +127,9 @@ def quality_checks(df: DataFrame, dup_keys: Sequence[str] = ("date", "item_name"
         long = long.unionByName(dups)
     meta = spark.createDataFrame(extra, "rule string, level string, n_failed bigint")
     out = long.unionByName(meta)
+    if malformed is not None:
+        out = out.unionByName(malformed.agg(F.count(F.lit(1)).alias("n_failed")).select(
+            F.lit("malformed_line").alias("rule"), F.lit("issue").alias("level"), "n_failed"))
     if not with_totals:
         return out
     span = (F.concat_ws(" to ", F.col("_dmin").cast("string"), F.col("_dmax").cast("string"))
@@ -166,9 +171,10 @@ def row_reasons(df: DataFrame, rules: list[tuple[str, str, Column]]) -> DataFram
     return df.withColumn("reasons", arr)
 
 
-def check_sales(df: DataFrame, name: str = "sales") -> QualityResult:
-    """Q1-Q12 together: summary row, checks table, rows with reasons."""
-    checks = quality_checks(df, with_totals=True)
+def check_sales(df: DataFrame, name: str = "sales", malformed: DataFrame | None = None) -> QualityResult:
+    """Q1-Q12 together: summary row, checks table, rows with reasons. ``malformed`` as in
+    ``quality_checks``."""
+    checks = quality_checks(df, with_totals=True, malformed=malformed)
     return QualityResult(quality_summary(df, name, checks), checks.where(F.col("rule") != TOTALS),
                          row_reasons(df, sales_row_rules(df)))
 

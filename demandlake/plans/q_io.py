@@ -9,12 +9,13 @@ import os
 
 from pyspark.sql import functions as F
 
+from demandlake.operators import quality as qa
 from demandlake.operators import windows as wn
 from demandlake.plans.registry import register
 from demandlake.session import work_dir
 from demandlake.sources import sales as io
 from demandlake.sources import testdata as td
-from demandlake.sources.testdata import NAIVE_SQL, SALES_SQL, with_sql
+from demandlake.sources.testdata import NAIVE_SQL, SALES_SQL, UPLOAD_LINES_SQL, with_sql
 
 SALES_COLS = ("business_type:s, item_name:s, date:t, price:d, shelf_life_hours:d, quantity_available:i, "
               "quantity_sold:i, customer_demand:i, waste_quantity:i, weather_condition:s, holiday_flag:i")
@@ -91,3 +92,42 @@ def metrics_log_append(spark, sf_dir):
     io.append_metrics(score_actuals(pairs.where(F.col("business_type") != "Bakery")).withColumn("timestamp", stamp), path)
     io.append_metrics(score_actuals(pairs.where(F.col("business_type") == "Bakery")).withColumn("timestamp", stamp), path)
     return io.read_metrics(spark, path).drop("timestamp")
+
+
+def _uploads(spark, sf_dir):
+    """The sales table as CSV uploads in three layouts, read by name."""
+    paths = td.write_uploads(td.load_sales(spark, sf_dir), _scratch(spark, "uploads"))
+    return io.read_sales_uploads(spark, paths, qa.BAD_CELLS)
+
+
+def _layout():
+    return F.regexp_extract("file", "layout=([a-z]+)", 1).alias("layout")
+
+
+_BROKEN = f"k IN ({td.LONG_LINE}, {td.SHORT_LINE}, {td.OPEN_LINE})"
+
+
+@register("uploads_by_name", SALES_COLS, with_sql(SALES_SQL, UPLOAD_LINES_SQL) + "SELECT * FROM by_name")
+def uploads_by_name(spark, sf_dir):
+    """S1 + S2: files with shuffled, extra and missing columns, each read by its own header."""
+    return _uploads(spark, sf_dir).rows
+
+
+@register("uploads_quarantine", "layout:s, text:s, n_expected:i", with_sql(SALES_SQL, UPLOAD_LINES_SQL) +
+          f"SELECT layout, line AS text, width AS n_expected FROM upload_lines WHERE {_BROKEN}")
+def uploads_quarantine(spark, sf_dir):
+    """Lines with a cell too many, too few, or an open quote, kept as they are."""
+    return _uploads(spark, sf_dir).quarantine.select(_layout(), "text", "n_expected")
+
+
+@register("uploads_report", "layout:s, n_rows:i, n_malformed:i, missing:s, unknown:s",
+          with_sql(SALES_SQL, UPLOAD_LINES_SQL) + f"""
+SELECT layout, count(*) FILTER (WHERE NOT {_BROKEN}) AS n_rows, count(*) FILTER (WHERE {_BROKEN}) AS n_malformed,
+       CASE layout WHEN 'bakery' THEN 'holiday_flag' ELSE '' END AS missing,
+       CASE layout WHEN 'restaurant' THEN 'note' ELSE '' END AS unknown
+FROM upload_lines GROUP BY layout""")
+def uploads_report(spark, sf_dir):
+    """Counts and column differences of the files, by layout."""
+    return _uploads(spark, sf_dir).files.groupBy(_layout()).agg(
+        F.sum("n_rows").alias("n_rows"), F.sum("n_malformed").alias("n_malformed"), F.max("missing").alias("missing"),
+        F.max("unknown").alias("unknown"))

@@ -6,8 +6,9 @@ from pyspark.sql import functions as F
 
 from demandlake.operators import quality as qa
 from demandlake.plans.registry import register
+from demandlake.session import work_dir
 from demandlake.sources import testdata as td
-from demandlake.sources.sales import type_sales
+from demandlake.sources.sales import read_sales_uploads, type_sales
 from demandlake.sources.testdata import (
     DAY_REQUESTS_SQL,
     NAIVE_SQL,
@@ -15,6 +16,7 @@ from demandlake.sources.testdata import (
     RAW_SALES_SQL,
     REQUESTS_SQL,
     SALES_SQL,
+    UPLOAD_LINES_SQL,
     UPLOADS_SQL,
     with_sql,
 )
@@ -63,6 +65,17 @@ def quality_sales_checks(spark, sf_dir):
     return qa.quality_checks(_read(spark, sf_dir))
 
 
+@register("quality_uploads_checks", "rule:s, level:s, n_failed:i", with_sql(SALES_SQL, UPLOAD_LINES_SQL, """
+dirty AS (SELECT *, false AS bad_date, false AS bad_cell FROM by_name)""") + _CHECKS_BODY + f"""
+UNION ALL SELECT 'malformed_line', 'issue', count(*) FROM upload_lines
+WHERE k IN ({td.LONG_LINE}, {td.SHORT_LINE}, {td.OPEN_LINE})""")
+def quality_uploads_checks(spark, sf_dir):
+    """Q1-Q11 over CSV uploads in three layouts: malformed lines are counted beside the row rules."""
+    found = read_sales_uploads(
+        spark, td.write_uploads(td.load_sales(spark, sf_dir), work_dir(spark, "uploads")), qa.BAD_CELLS)
+    return qa.check_sales(found.rows, malformed=found.quarantine).checks
+
+
 @register(
     "quality_sales_summary",
     "dataset:s, valid:b, n_issues:i, n_warnings:i, total_rows:i, date_range:s, issues:s",

@@ -68,12 +68,12 @@ def path_exists(spark: SparkSession, path: str) -> bool:
 
 def work_dir(spark: SparkSession, name: str) -> str:
     """A fresh folder for tables that a job writes and reads back, outside the
-    checkpoint folder: under ``spark.demandlake.workDir`` or else the warehouse
-    (both shared by all executors). Removed when the application ends; durable
-    tables belong in a folder of the caller's own."""
-    base = spark.conf.get("spark.demandlake.workDir", None) or os.path.join(
-        spark.conf.get("spark.sql.warehouse.dir"), "demandlake-work")
-    path = os.path.join(base, f"{name}-{uuid.uuid4().hex[:8]}")
+    checkpoints themselves: under ``spark.demandlake.workDir`` or else the
+    checkpoint folder (both shared by all executors; without either it is an error
+    on a cluster). Removed when the application ends; durable tables belong in a
+    folder of the caller's own."""
+    base = spark.conf.get("spark.demandlake.workDir", None) or f"{ensure_checkpoint_dir(spark)}/demandlake-work"
+    path = f"{base}/{name}-{uuid.uuid4().hex[:8]}"
     folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(folder)
     return path

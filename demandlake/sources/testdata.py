@@ -484,3 +484,74 @@ valid_req AS (
 ),
 all_req AS (SELECT * FROM series_req UNION ALL SELECT * FROM valid_req)
 """
+
+
+# ---------------------------------------------------------------------------
+# CSV uploads in three layouts, with malformed lines.
+# ---------------------------------------------------------------------------
+
+#: layout -> (business type, columns of its files in order); ``note`` is a column nobody asks for
+UPLOAD_LAYOUTS = {
+    "restaurant": ("Restaurant", ["holiday_flag", "weather_condition", "note", "waste_quantity", "customer_demand",
+                                  "quantity_sold", "quantity_available", "shelf_life_hours", "price", "date", "item_name",
+                                  "business_type"]),
+    "cafe": ("Cafe", [f.name for f in SALES_SCHEMA.fields]),
+    "bakery": ("Bakery", ["item_name", "date", "quantity_sold", "quantity_available", "price", "business_type",
+                          "customer_demand", "waste_quantity", "shelf_life_hours", "weather_condition"]),
+}
+#: day of the year modulo 50 -> a line with a cell too many, cut after two cells, with a quote left open
+LONG_LINE, SHORT_LINE, OPEN_LINE = 0, 25, 10
+_WHOLE = ("price", "shelf_life_hours")
+
+
+def upload_lines(sales: DataFrame) -> DataFrame:
+    """(layout, line): the sales table as CSV lines of ``UPLOAD_LAYOUTS``."""
+    day = F.dayofyear("date") % 50
+    named = sales.withColumn("note", F.concat(F.lit("day "), day.cast("string"))).withColumn(
+        "item_name", F.when(day == OPEN_LINE, F.concat(F.lit('"'), "item_name")).otherwise(F.col("item_name")))
+    layout = line = F.lit(None).cast("string")
+    for name, (business, cols) in UPLOAD_LAYOUTS.items():
+        cells = [(F.col(c).cast("bigint") if c in _WHOLE else F.col(c)).cast("string") for c in cols]
+        full = F.concat_ws(",", *cells)
+        own = F.when(day == LONG_LINE, F.concat(full, F.lit(",extra"))).when(
+            day == SHORT_LINE, F.concat_ws(",", *cells[:2])).otherwise(full)
+        mine = F.col("business_type") == business
+        layout, line = F.when(mine, name).otherwise(layout), F.when(mine, own).otherwise(line)
+    return named.select(layout.alias("layout"), line.alias("line"))
+
+
+def write_uploads(sales: DataFrame, base: str) -> list[str]:
+    """Writes the lines under ``base``/layout=<name>, each file with its layout's header."""
+    lines = upload_lines(sales)
+    paths = []
+    for name, (_, cols) in UPLOAD_LAYOUTS.items():
+        paths.append(f"{base}/layout={name}")
+        # one column whose name is the header and whose values are whole lines: nothing is quoted
+        lines.where(F.col("layout") == name).select(F.col("line").alias(",".join(cols))).write.option("header", True).option(
+            "sep", "\u0001").option("quote", "\u0002").csv(paths[-1])
+    return paths
+
+
+def _upload_line_sql(cols: list[str]) -> str:
+    cells = []
+    for c in cols:
+        e = {"note": "'day ' || CAST(k AS VARCHAR)",
+             "item_name": f"CASE WHEN k = {OPEN_LINE} THEN '\"' || item_name ELSE item_name END"}.get(c, c)
+        cells.append(f"CAST(CAST({e} AS BIGINT) AS VARCHAR)" if c in _WHOLE else f"CAST({e} AS VARCHAR)")
+    full = f"concat_ws(',', {', '.join(cells)})"
+    return (f"CASE k WHEN {LONG_LINE} THEN {full} || ',extra' "
+            f"WHEN {SHORT_LINE} THEN concat_ws(',', {cells[0]}, {cells[1]}) ELSE {full} END")
+
+
+UPLOAD_LINES_SQL = f"""
+keyed AS (SELECT *, dayofyear(date) % 50 AS k FROM sales),
+upload_lines AS (
+  SELECT k, CASE business_type {' '.join(f"WHEN '{b}' THEN '{n}'" for n, (b, _) in UPLOAD_LAYOUTS.items())} END AS layout,
+         CASE business_type {' '.join(f"WHEN '{b}' THEN {_upload_line_sql(c)}" for b, c in UPLOAD_LAYOUTS.values())} END AS line,
+         CASE business_type {' '.join(f"WHEN '{b}' THEN {len(c)}" for b, c in UPLOAD_LAYOUTS.values())} END AS width
+  FROM keyed),
+by_name AS (
+  SELECT business_type, item_name, date, price, shelf_life_hours, quantity_available, quantity_sold, customer_demand,
+         waste_quantity, weather_condition, CASE WHEN business_type <> 'Bakery' THEN holiday_flag END AS holiday_flag
+  FROM keyed WHERE k NOT IN ({LONG_LINE}, {SHORT_LINE}, {OPEN_LINE}))
+"""
