@@ -22,12 +22,23 @@ def work_path(spark: SparkSession, name: str) -> str:
     return path
 
 
-def stage(df: DataFrame, name: str) -> DataFrame:
+ARROW_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
+
+def stage(df: DataFrame, name: str, arrow_rows: int | None = None) -> DataFrame:
     """Write ``df`` as Parquet in the shared folder and read it back: cuts the
-    lineage and survives lost executors (no copy lives on an executor only)."""
-    path = work_path(df.sparkSession, name)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    lineage and survives lost executors (no copy lives on an executor only).
+    ``arrow_rows`` bounds the rows that this write hands to a Python worker at once,
+    for rows that hold whole texts."""
+    spark, path = df.sparkSession, work_path(df.sparkSession, name)
+    before = spark.conf.get(ARROW_ROWS)
+    try:
+        if arrow_rows:
+            spark.conf.set(ARROW_ROWS, str(arrow_rows))
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(ARROW_ROWS, before)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def free_name(df: DataFrame, base: str) -> str:

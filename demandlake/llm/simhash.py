@@ -14,6 +14,8 @@ from demandlake.llm.components import connected_components
 from demandlake.llm.shared import stage
 
 _PART = 1 << 15
+#: texts handed to a Python worker at once
+TEXT_ROWS = 500
 
 
 def simhash(text: str | None, words: int) -> int:
@@ -92,7 +94,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     number = F.col(row_col) if row_col else F.monotonically_increasing_id()
     rows = docs.select(number.alias("row_id"), F.col(id_col).alias("doc_id"),
                        fingerprint(F.col(text_col), words).alias("fp"))
-    rows = stage(rows, "fingerprints")
+    rows = stage(rows, "fingerprints", arrow_rows=TEXT_ROWS)
     rank = F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("id"), F.col("row_id").alias("row"))
     classes = rows.groupBy("fp").agg(F.min(rank).alias("low"))
     classes = stage(classes, "classes")
