@@ -3,7 +3,7 @@
 Every language has a codeword of bits. For each bit a binary classifier over hashed byte n-grams tells the languages
 with a one from those with a zero: the log ratio of the n-gram distributions of both halves, averaged over a text.
 Decoding takes the codeword of least loss, where the loss of a bit is weighted by how well its classifier does on
-the training documents of that language; a text is ambiguous if the next codeword is nearly as close.
+training documents of that language (at most ``MAX_CHECK`` in all); a text is ambiguous if the next codeword is nearly as close.
 
 Texts are lower-cased; ASCII other than letters counts as one space. N-grams are ``LENGTHS`` bytes long. All labelled
 documents are counted, in a pass that gives per-language counts in ``CHUNKS`` pieces of the buckets; no
@@ -18,6 +18,7 @@ from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -34,6 +35,8 @@ WINDOW = 1 << 18
 SMOOTHING = 0.1
 #: languages up to which all splits into two halves are bits; beyond, ``BITS_PER_DOUBLING`` random bits for each doubling
 EXHAUSTIVE, BITS_PER_DOUBLING, TRIES, SEED = 7, 10, 64, 11
+#: labelled documents on which the bits' accuracies and margins are measured, at most (chosen by a hash of the text)
+MAX_CHECK = 40_000
 #: a typical margin of a bit counts as this logit
 SHARPNESS = 3.0
 #: a text is ambiguous if the losses of the two nearest codewords differ by less
@@ -74,37 +77,60 @@ _FOLD = np.arange(256, dtype=np.uint8)
 for _b in range(128):
     if not chr(_b).isalpha():
         _FOLD[_b] = 32
-_ODD = np.uint64(0x9E3779B97F4A7C15)
-
-
-def windows(texts: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """(text number, buckets) of runs of n-grams: the buckets of all n-grams of at most ``WINDOW`` bytes of text,
-    with the text of each, ascending within one length. N-grams do not run over the end of a text."""
-    lower = ta.normalized(texts)
-    n = len(lower)
-    cuts = np.frombuffer(lower.buffers()[1], np.int64)[lower.offset:lower.offset + n + 1]
-    body = lower.buffers()[2]
-    data = _FOLD[np.frombuffer(body, np.uint8)[cuts[0]:cuts[-1]]] if body else np.zeros(0, np.uint8)
-    cuts = cuts - cuts[0]
-    first = np.zeros(len(data) + 1, bool)
-    first[cuts] = True
-    keep = (data != 32) | first[:-1]
-    keep[1:] |= data[:-1] != 32
-    data, cuts = data[keep], np.concatenate(([0], np.cumsum(keep)))[cuts]
-    longest = max(LENGTHS)
-    for lo in range(0, len(data), WINDOW):
-        part = data[lo:lo + WINDOW + longest - 1].astype(np.uint64)
-        at = np.arange(lo, min(lo + WINDOW, len(data)))
-        owner = np.searchsorted(cuts, at, "right") - 1
-        left = cuts[owner + 1] - at  # bytes up to the end of the text
-        code = np.zeros(len(at), np.uint64)
-        for k in range(1, longest + 1):
-            more = part[k - 1:k - 1 + len(at)]
-            code = code[:len(more)] << np.uint64(8) | more
-            if k in LENGTHS:
-                whole = left[:len(code)] >= k
-                salted = (code[whole] | np.uint64(k << 40)) * _ODD
-                yield owner[:len(code)][whole], (salted >> np.uint64(64 - BITS)).astype(np.int32)
+_ODD = np.uint32(0x9E3779B1)
+#: bucket of places where no whole n-gram begins; its weight is 0
+NOTHING = BUCKETS
+
+
+def bucket_of(code: np.ndarray, length: int) -> np.ndarray:
+    """Buckets of n-grams whose bytes, first highest, make the 32-bit ``code``."""
+    return ((code + np.uint32(length * 0x3C6EF372 % 2**32)) * _ODD >> np.uint32(32 - BITS)).astype(np.intp)
+
+
+class Grams:
+    """N-grams of the folded texts. A window is some whole texts of ``WINDOW`` bytes in all, or a part of a longer text,
+    counted from its start, so a text's sums do not depend on the texts beside it."""
+
+    def __init__(self, texts: pa.Array):
+        lower = ta.normalized(texts)
+        n = len(lower)
+        cuts = np.frombuffer(lower.buffers()[1], np.int64)[lower.offset:lower.offset + n + 1]
+        body = lower.buffers()[2]
+        data = _FOLD[np.frombuffer(body, np.uint8)[cuts[0]:cuts[-1]]] if body else np.zeros(0, np.uint8)
+        cuts = cuts - cuts[0]
+        space = data == 32
+        keep = ~space
+        keep[1:] |= keep[:-1]
+        keep[cuts[:-1][cuts[:-1] < len(data)]] = True
+        self.data, self.cuts = data[keep], np.concatenate(([0], np.cumsum(keep)))[cuts]
+
+    def totals(self) -> np.ndarray:
+        """Number of n-grams of each text."""
+        size = np.diff(self.cuts)
+        return sum(np.maximum(size - k + 1, 0) for k in LENGTHS)
+
+    def windows(self) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """(texts, where each begins, bucket of the n-gram at every place): one for each length and window."""
+        cuts, n, lo = self.cuts, len(self.cuts) - 1, 0
+        while lo < n:
+            hi = max(lo + 1, int(np.searchsorted(cuts, cuts[lo] + WINDOW, "right")) - 1)
+            who = lo + np.flatnonzero(np.diff(cuts[lo:hi + 1]))
+            for a in range(int(cuts[lo]), int(cuts[hi]), WINDOW):
+                b = min(a + WINDOW, int(cuts[hi]))
+                starts = np.maximum(cuts[who] - a, 0)
+                ends = cuts[who + 1] - a
+                part = np.zeros(b - a + max(LENGTHS), np.uint32)
+                whole = self.data[a:min(b + max(LENGTHS), int(cuts[hi]))]
+                part[:len(whole)] = whole
+                code = np.zeros(b - a, np.uint32)
+                for k in range(1, max(LENGTHS) + 1):
+                    code = code << np.uint32(8) | part[k - 1:k - 1 + b - a]
+                    if k in LENGTHS:
+                        bucket = bucket_of(code, k)
+                        over = (ends[:, None] - np.arange(1, k)).ravel()  # these run over the end of a text
+                        bucket[over[(over >= 0) & (over < b - a)]] = NOTHING
+                        yield who, starts, bucket
+            lo = hi
 
 
 # -- training ----------------------------------------------------------------------
@@ -119,15 +145,13 @@ class Model:
 
     def margins(self, texts: pa.Array) -> np.ndarray:
         """texts x bits: the mean weight of the n-grams, 0 without any."""
-        total, count = np.zeros((len(texts), len(self.scale))), np.zeros(len(texts))
-        for owner, bucket in windows(texts):
-            if len(owner):
-                start = np.flatnonzero(np.diff(owner, prepend=-1))
-                who = owner[start]
-                count[who] += np.diff(np.append(start, len(owner)))
-                for j, w in enumerate(self.weights):
-                    total[who, j] += np.add.reduceat(w[bucket], start)
-        return total / np.maximum(count, 1)[:, None]
+        grams = Grams(texts)
+        total = np.zeros((len(texts), len(self.scale)))
+        weights = np.pad(self.weights, ((0, 0), (0, 1)))
+        for who, starts, bucket in grams.windows():
+            for j, w in enumerate(weights):
+                total[who, j] += np.add.reduceat(np.take(w, bucket), starts)
+        return total / np.maximum(grams.totals(), 1)[:, None]
 
     def losses(self, margins: np.ndarray) -> np.ndarray:
         """texts x langs: the weighted mean over the bits of the logistic loss of the margins."""
@@ -162,12 +186,11 @@ def gram_counts(sample: DataFrame) -> DataFrame:
         found: dict[str, np.ndarray] = {}
         for batch in batches:
             langs = batch.column(1).dictionary_encode()
-            lang_of, names = langs.indices.to_numpy(), langs.dictionary.to_pylist()
-            for owner, bucket in windows(batch.column(0)):
-                mine = lang_of[owner]
-                for k in np.unique(mine):
-                    n = np.bincount(bucket[mine == k], minlength=BUCKETS)
-                    found[names[k]] = found[names[k]] + n if names[k] in found else n
+            for k, lang in enumerate(langs.dictionary.to_pylist()):
+                mine = batch.column(0).filter(pc.equal(langs.indices, k))
+                n = found.setdefault(lang, np.zeros(BUCKETS, np.int64))
+                for _, _, bucket in Grams(mine).windows():
+                    n += np.bincount(bucket, minlength=BUCKETS + 1)[:BUCKETS]
         yield from rows({(lang, c): n[c * WIDTH:(c + 1) * WIDTH] for lang, n in found.items() for c in range(CHUNKS)})
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -234,7 +257,9 @@ def fit(sample: DataFrame) -> Model:
         yield _table({"lang": (i, pa.int32()), "bit": (j, pa.int32()), "n": (n[i, j], pa.float64()),
                       "good": (right[i, j], pa.float64()), "size": (size[i, j], pa.float64())})
 
-    found = sample.select("text", "lang").mapInArrow(check, "lang int, bit int, n double, good double, size double")
+    share = min(1_000_000, MAX_CHECK * 1_000_000 // max(1, sample.count()))
+    some = sample.where(F.pmod(F.xxhash64("text"), F.lit(1_000_000)) < share)
+    found = some.select("text", "lang").mapInArrow(check, "lang int, bit int, n double, good double, size double")
     n, size, good = np.zeros(bits), np.zeros(bits), np.full((len(langs), bits), 0.5)
     for r in found.groupBy("lang", "bit").agg(*[F.sum(c).alias(c) for c in ("n", "good", "size")]).collect():
         n[r.bit] += r.n

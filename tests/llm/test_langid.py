@@ -33,11 +33,12 @@ def test_codewords():
 def test_windows_equal_plain_ngrams(monkeypatch):
     texts = ["Ab, c1d!", None, "", "  é\n\nÉ ", "x", "12 34", "ab" * 30]
     monkeypatch.setattr(langid, "WINDOW", 11)
+    grams = langid.Grams(pa.array(texts))
     got = [Counter() for _ in texts]
-    for owner, bucket in langid.windows(pa.array(texts)):
-        assert (np.diff(owner) >= 0).all()
-        for o, b in zip(owner.tolist(), bucket.tolist()):
-            got[o][b] += 1
+    for who, starts, bucket in grams.windows():
+        for t, a, b in zip(who, starts, [*starts[1:], len(bucket)]):
+            got[t].update(x for x in bucket[a:b].tolist() if x != langid.NOTHING)
+    assert grams.totals().tolist() == [sum(c.values()) for c in got]
     for t, seen in zip(texts, got):
         raw, folded = (t or "").lower().encode(), b""
         for b in raw:
@@ -47,8 +48,8 @@ def test_windows_equal_plain_ngrams(monkeypatch):
         want = Counter()
         for k in langid.LENGTHS:
             for i in range(len(folded) - k + 1):
-                code = int.from_bytes(folded[i:i + k], "big") | k << 40
-                want[code * 0x9E3779B97F4A7C15 % 2**64 >> 64 - langid.BITS] += 1
+                code = int.from_bytes(folded[i:i + k], "big") + k * 0x3C6EF372
+                want[code * 0x9E3779B1 % 2**32 >> 32 - langid.BITS] += 1
         assert seen == want, t
 
 
@@ -74,8 +75,8 @@ def test_held_out_languages_are_found(spark, corpus):
     texts = {x.doc_id: x.text for x in corpus.select("doc_id", "text").collect()}
     for d, t in texts.items():
         if zlib.crc32(str(d).encode()) % 5:
-            for _, bucket in langid.windows(pa.array([t])):
-                counts[truth[d]] += np.bincount(bucket, minlength=langid.BUCKETS)
+            for _, _, bucket in langid.Grams(pa.array([t])).windows():
+                counts[truth[d]] += np.bincount(bucket, minlength=langid.BUCKETS + 1)[:-1]
     p = np.stack([counts[lang] / counts[lang].sum() for lang in model.langs])
     for j in range(model.code.shape[1]):
         ones = model.code[:, j] > 0
