@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from demandlake.plans import (  # noqa: F401
+    q_backtest,
     q_decide,
     q_eda,
     q_features,

@@ -9,7 +9,9 @@ from pyspark.sql import functions as F
 from demandlake.operators import contract as ct
 from demandlake.operators import decide as dc
 from demandlake.plans.registry import register
+from demandlake.session import work_dir
 from demandlake.sources import testdata as td
+from demandlake.sources.stored import StoredTable
 from demandlake.sources.testdata import NAIVE_SQL, PLANS_SQL, REQUESTS_SQL, SALES_SQL, with_sql
 
 P = with_sql(SALES_SQL, NAIVE_SQL, PLANS_SQL)
@@ -124,6 +126,9 @@ fc_new AS (SELECT business_type, item_name, date AS forecast_date, p1 AS predict
 """
 
 
+_FORECAST_DDL = "business_type string, item_name string, forecast_date date, predicted_demand bigint, version int"
+
+
 def _forecast_versions(spark, sf_dir):
     sales = td.load_sales(spark, sf_dir, materialize=True)
     old = td.plans(sales).select("business_type", "item_name", F.col("date").alias("forecast_date"),
@@ -150,6 +155,24 @@ def forecast_upsert(spark, sf_dir):
     return ct.upsert(old, new, ["business_type", "item_name", "forecast_date"], "version")
 
 
+@register(
+    "forecast_merge_stored",
+    "business_type:s, item_name:s, forecast_date:t, predicted_demand:i, version:i",
+    with_sql(SALES_SQL, NAIVE_SQL, _FC_SQL) + """SELECT business_type, item_name, forecast_date,
+       arg_max(predicted_demand, version) AS predicted_demand, max(version) AS version
+FROM (SELECT * FROM fc_old UNION ALL SELECT * FROM fc_new) u GROUP BY 1, 2, 3""",
+)
+def forecast_merge_stored(spark, sf_dir):
+    """C4 on a stored table: the forecasts are merged version by version, each merge rewriting the
+    hash parts of its keys only; the newest version is read back."""
+    old, new = _forecast_versions(spark, sf_dir)
+    table = StoredTable(spark, work_dir(spark, "forecasts"), _FORECAST_DDL, ["business_type", "item_name", "forecast_date"],
+                        "version", parts=16)
+    table.merge(old)
+    table.merge(new)
+    return table.read()
+
+
 @register(
     "todays_forecasts",
     "item_id:s, item_name:s, predicted_demand:i, recommended_quantity:i",

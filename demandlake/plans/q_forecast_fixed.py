@@ -58,10 +58,8 @@ _AGG = """count(*) AS n, max(date) AS last_date,
 
 def _state_sql(requests: str) -> str:
     """CTEs up to ``s0``: each request with its static features and day-1 history features."""
-    cat, cx = item_sql()
     pick = ", ".join(f"CASE WHEN s.n IS NOT NULL THEN s.{c} ELSE b.{c} END AS {c}"
                      for c in ("n", "last_date", "d1", "s1", "w1", "d7", "r3", "r7", "r14", "r30", "sd7", "sd14"))
-    known = ", ".join(f"'{k}'" for k in KNOWN_ITEMS)
     return f"""
 stail AS (SELECT *, row_number() OVER (PARTITION BY business_type, item_name ORDER BY date DESC) AS rn FROM sales),
 btail AS (SELECT *, row_number() OVER (PARTITION BY business_type ORDER BY date DESC, item_name DESC) AS rn FROM sales),
@@ -71,6 +69,14 @@ joined AS (
   SELECT r.*, s.n IS NOT NULL AS has_series, {pick}
   FROM {requests} r LEFT JOIN sstate s ON r.business_type = s.business_type AND r.item_name = s.item_name
                     LEFT JOIN bstate b ON r.business_type = b.business_type),
+{_s0_sql()}"""
+
+
+def _s0_sql() -> str:
+    """CTE ``s0`` over ``joined``: static features and day-1 history features."""
+    cat, cx = item_sql()
+    known = ", ".join(f"'{k}'" for k in KNOWN_ITEMS)
+    return f"""
 s0 AS (
   SELECT * EXCLUDE (n, last_date, d1, s1, w1, d7, r3, r7, r14, r30, sd7, sd14, category),
          {category_code_sql()} AS category_encoded, {business_code_sql()} AS business_encoded,

@@ -177,6 +177,8 @@ ROLLING_STDS = (7, 14)
 # History rows kept per series for forecasting, and horizon in days.
 HISTORY_ROWS = 30
 HORIZON_DAYS = 7
+# Bands of days ahead by which forecasts are scored.
+HORIZON_BANDS = {"1-2": (1, 2), "3-5": (3, 5), "6-7": (6, 7)}
 
 # Forecast rules.
 SAFETY_BUFFER = 1.05
