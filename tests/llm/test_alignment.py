@@ -101,10 +101,25 @@ def test_groups_and_pair_counts(spark):
     assert counts[a << alignment.ID_BITS | b] == 2
 
 
+def test_units_end_where_both_tokenizers_end():
+    plain, tok = Plain(), alignment.tokenizers(*alignment.default_paths())
+    r = np.random.default_rng(3)
+    letters = list("ab,.'1 \n\té\u00a0\u3000ß漢😀\u0301▁ ") + ["  ", " the", " le", "<s>", "'s"]
+    texts = ["".join(r.choice(letters, r.integers(1, 30))) for _ in range(1500)]
+    block = alignment.align(texts, tok)
+    text_groups = alignment.unit_texts(block, block.groups())
+    at = np.concatenate(([0], np.cumsum(block.n_units)))
+    for t, lo, hi in zip(texts, at, at[1:]):
+        want = "".join(",".join(map(str, a)) + "|" + ",".join(map(str, b)) + ";" for a, b in plain.groups(t))
+        assert b"".join(text_groups[u] for u in block.unit_of[lo:hi]).decode() == want, repr(t)
+    again = alignment.Block.unpack(block.pack(tok.bytes_a.kind, tok.bytes_b.kind))
+    assert all((getattr(again, f) == getattr(block, f)).all() for f in ("n_units", "unit_of", "n_a", "a", "b", "last_a", "last_b"))
+
+
 def test_one_very_large_group_is_counted_whole():
     a, b = np.arange(5000) % 7, np.arange(4000) % 3
     last_a, last_b = np.arange(5000) == 4999, np.arange(4000) == 3999
-    block = alignment.Block(np.array([5000]), np.array([4000]), a, b, last_a, last_b)
+    block = alignment.Block(np.array([1]), np.array([0]), np.array([5000]), np.array([4000]), a, b, last_a, last_b)
     parts = list(block.groups().links(block))
     assert sum(int(np.sum(np.broadcast_to(t, p.shape))) for _, p, t in parts) == 5000 * 4000
     pairs, n = alignment.distinct_pairs(block, np.array([3]))
