@@ -143,9 +143,9 @@ def request_metrics(log: DataFrame) -> DataFrame:
 
 
 def failure_islands(log: DataFrame, failed: str = "failed", ts: str = "ts", tie: str = "event_id",
-                    n_ranges: int | None = None) -> DataFrame:
+                    n_ranges: int | None = None, with_ids: bool = False) -> DataFrame:
     """Maximal runs of consecutive failed events in (ts, tie) order:
-    (run_start, run_end, n_events).
+    (run_start, run_end, n_events), ``with_ids`` also (first_id, last_id).
 
     Events are range-partitioned on (ts, tie) into ``n_ranges`` contiguous,
     size-balanced buckets (bounds come from a sample, so a burst that holds
@@ -193,7 +193,8 @@ def failure_islands(log: DataFrame, failed: str = "failed", ts: str = "ts", tie:
     stitched = edge.groupBy("_chain").agg(
         F.min("_first").alias("_first"), F.max("_last").alias("_last"), F.sum("n_events").cast("bigint").alias("n_events"))
     runs = interior.select("_first", "_last", "n_events").unionByName(stitched.select("_first", "_last", "n_events"))
-    return runs.select(F.col("_first._ts").alias("run_start"), F.col("_last._ts").alias("run_end"), "n_events")
+    ids = [F.col("_first._tie").alias("first_id"), F.col("_last._tie").alias("last_id")] if with_ids else []
+    return runs.select(F.col("_first._ts").alias("run_start"), F.col("_last._ts").alias("run_end"), "n_events", *ids)
 
 
 def error_runs(log: DataFrame, n: int = ALERT_ERROR_RUN) -> DataFrame:

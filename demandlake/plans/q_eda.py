@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+from demandlake.operators import daystates as ds
 from demandlake.operators import eda
 from demandlake.plans.registry import register
+from demandlake.session import work_dir
 from demandlake.sources import testdata as td
 from demandlake.sources.sales import type_sales
 from demandlake.sources.testdata import RAW_SALES_SQL, SALES_SQL, with_sql
@@ -248,3 +250,26 @@ def eda_waste_pct_by_item(spark, sf_dir):
 def eda_business_insights(spark, sf_dir):
     """Units, revenue, waste units and value, waste value per day."""
     return eda.business_insights(_sales(spark, sf_dir))
+
+
+@register(
+    "eda_range_summary",
+    "business_type:s, n:i, mean:d, std:d, least:d, largest:d, q0:d, q1:d",
+    with_sql(SALES_SQL) + f""",
+part AS (SELECT business_type, CAST(customer_demand AS DOUBLE) AS v, CASE WHEN customer_demand > 0 THEN
+           CAST(floor(ln(CAST(customer_demand AS DOUBLE)) / ln(CAST({ds.GROWTH} AS DOUBLE))) AS INTEGER) END AS bucket
+         FROM sales WHERE date BETWEEN DATE '1994-03-05' AND DATE '1996-02-17'),
+b AS (SELECT business_type, bucket, sum(count(*)) OVER (PARTITION BY business_type ORDER BY bucket NULLS FIRST) AS upto,
+             sum(count(*)) OVER (PARTITION BY business_type) AS total FROM part GROUP BY 1, 2),
+q AS (SELECT business_type, arg_min(coalesce(pow(CAST({ds.GROWTH} AS DOUBLE), bucket + 0.5), 0.0), upto) FILTER (WHERE upto >= ceil(total * 0.5)) AS q0,
+             arg_min(coalesce(pow(CAST({ds.GROWTH} AS DOUBLE), bucket + 0.5), 0.0), upto) FILTER (WHERE upto >= ceil(total * 0.95)) AS q1
+      FROM b GROUP BY 1)
+SELECT business_type, count(*) AS n, avg(v) AS mean, stddev_samp(v) AS std, min(v) AS least, max(v) AS largest,
+       any_value(q0) AS q0, any_value(q1) AS q1
+FROM part JOIN q USING (business_type) GROUP BY business_type""",
+)
+def eda_range_summary(spark, sf_dir):
+    """A2 + A4 + A14 for a range of days, merged from stored daily states without reading the sales again."""
+    folder = work_dir(spark, "daystates")
+    ds.write_states(td.load_sales(spark, sf_dir), folder)
+    return ds.range_summary(spark, folder, "1994-03-05", "1996-02-17")

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from demandlake.functions.items import item_features
 from demandlake.operators import features as fe
 from demandlake.operators import windows as wn
+from demandlake.operators.splitwindows import split_windows
 from demandlake.plans.registry import register
 from demandlake.plans.sqltext import (
     business_code_sql,
@@ -129,6 +130,19 @@ def features_windows_past_only(spark, sf_dir):
     return fe.add_rolling(fe.add_lags(td.load_sales(spark, sf_dir)), include_current=False)
 
 
+@register(
+    "features_windows_split",
+    WIN_COLS,
+    with_sql(SALES_SQL) + f"SELECT business_type, item_name, date, {windows_sql(True)} FROM sales",
+)
+def features_windows_split(spark, sf_dir):
+    """W1-W4 over ranges with a halo instead of whole series, as for series too large for a task."""
+    def columns(keys, order):
+        return {**fe.lag_columns(keys, order), **fe.rolling_columns(keys=keys, order=order)}
+
+    return split_windows(td.load_sales(spark, sf_dir), columns, ["date"], n_ranges=61)
+
+
 FULL_COLS = KEYS + ", " + ", ".join(
     f"{c}:{'d' if c in ('day_sin', 'day_cos', 'month_sin', 'month_cos', 'price', 'shelf_life_hours') or c.startswith(('prev_', 'rolling_')) else 'i'}"
     for c in FEATURE_COLS
