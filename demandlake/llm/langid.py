@@ -32,6 +32,8 @@ WIDTH = BUCKETS // CHUNKS
 LENGTHS = (1, 2, 3, 4)
 #: bytes of text whose n-grams are held at once
 WINDOW = 1 << 18
+#: bytes of text that are folded at once
+SLICE = 1 << 21
 SMOOTHING = 0.1
 #: languages up to which all splits into two halves are bits; beyond, ``BITS_PER_DOUBLING`` random bits for each doubling
 EXHAUSTIVE, BITS_PER_DOUBLING, TRIES, SEED = 7, 10, 64, 11
@@ -87,6 +89,17 @@ def bucket_of(code: np.ndarray, length: int) -> np.ndarray:
     return ((code + np.uint32(length * 0x3C6EF372 % 2**32)) * _ODD >> np.uint32(32 - BITS)).astype(np.intp)
 
 
+def slices(texts: pa.Array) -> Iterator[tuple[int, pa.Array]]:
+    """Runs of whole texts of about ``SLICE`` bytes (a longer text alone), each with the number of its first text."""
+    upto = np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy().astype(np.int64))
+    lo = 0
+    while lo < len(texts):
+        before = upto[lo - 1] if lo else 0
+        hi = max(lo + 1, int(np.searchsorted(upto, before + SLICE, "right")))
+        yield lo, texts.slice(lo, hi - lo)
+        lo = hi
+
+
 class Grams:
     """N-grams of the folded texts. A window is some whole texts of ``WINDOW`` bytes in all, or a part of a longer text,
     counted from its start, so a text's sums do not depend on the texts beside it."""
@@ -98,11 +111,14 @@ class Grams:
         body = lower.buffers()[2]
         data = _FOLD[np.frombuffer(body, np.uint8)[cuts[0]:cuts[-1]]] if body else np.zeros(0, np.uint8)
         cuts = cuts - cuts[0]
-        space = data == 32
-        keep = ~space
+        keep = data != 32
         keep[1:] |= keep[:-1]
-        keep[cuts[:-1][cuts[:-1] < len(data)]] = True
-        self.data, self.cuts = data[keep], np.concatenate(([0], np.cumsum(keep)))[cuts]
+        some = np.flatnonzero(np.diff(cuts))
+        keep[cuts[some]] = True
+        size = np.zeros(n, np.int64)
+        if len(some):
+            size[some] = np.add.reduceat(keep, cuts[some], dtype=np.int64)
+        self.data, self.cuts = data[keep], np.concatenate(([0], np.cumsum(size)))
 
     def totals(self) -> np.ndarray:
         """Number of n-grams of each text."""
@@ -145,13 +161,16 @@ class Model:
 
     def margins(self, texts: pa.Array) -> np.ndarray:
         """texts x bits: the mean weight of the n-grams, 0 without any."""
-        grams = Grams(texts)
         total = np.zeros((len(texts), len(self.scale)))
         weights = np.pad(self.weights, ((0, 0), (0, 1)))
-        for who, starts, bucket in grams.windows():
-            for j, w in enumerate(weights):
-                total[who, j] += np.add.reduceat(np.take(w, bucket), starts)
-        return total / np.maximum(grams.totals(), 1)[:, None]
+        for first, part in slices(texts):
+            grams = Grams(part)
+            mine = total[first:first + len(part)]
+            for who, starts, bucket in grams.windows():
+                for j, w in enumerate(weights):
+                    mine[who, j] += np.add.reduceat(np.take(w, bucket), starts)
+            mine /= np.maximum(grams.totals(), 1)[:, None]
+        return total
 
     def losses(self, margins: np.ndarray) -> np.ndarray:
         """texts x langs: the weighted mean over the bits of the logistic loss of the margins."""
@@ -189,8 +208,9 @@ def gram_counts(sample: DataFrame) -> DataFrame:
             for k, lang in enumerate(langs.dictionary.to_pylist()):
                 mine = batch.column(0).filter(pc.equal(langs.indices, k))
                 n = found.setdefault(lang, np.zeros(BUCKETS, np.int64))
-                for _, _, bucket in Grams(mine).windows():
-                    n += np.bincount(bucket, minlength=BUCKETS + 1)[:BUCKETS]
+                for _, part in slices(mine):
+                    for _, _, bucket in Grams(part).windows():
+                        n += np.bincount(bucket, minlength=BUCKETS + 1)[:BUCKETS]
         yield from rows({(lang, c): n[c * WIDTH:(c + 1) * WIDTH] for lang, n in found.items() for c in range(CHUNKS)})
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
