@@ -249,7 +249,8 @@ def drop_leaks(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_c
     whole = F.col("whole")
     leaks = find_leaks(rows.select("row_id", whole[id_col].alias("doc_id"), whole[text_col].alias("text")), items,
                        row_col="row_id")
-    return rows.join(leaks.select("row_id").distinct(), "row_id", "left_anti").select("whole.*")
+    gone = stage(leaks.select("row_id").distinct(), "leaked")  # a table, so its size is known
+    return rows.join(gone, "row_id", "left_anti").select("whole.*")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
