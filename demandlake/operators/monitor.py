@@ -31,6 +31,7 @@ from demandlake.schema import (
     RETRAIN_WINDOW,
     TARGET_MAPE,
 )
+from demandlake.session import cut_lineage
 
 
 def accuracy(df: DataFrame, by: Sequence[str] = (), y: str = "y_true", p: str = "y_pred") -> DataFrame:
@@ -179,6 +180,9 @@ def failure_islands(log: DataFrame, failed: str = "failed", ts: str = "ts", tie:
         "_at_start": F.col("_min_seq") == 1,
         "_at_end": F.col("_max_seq") == F.col("_size"),
     })
+    # Range bounds come from a sample: the two parts below must see the same buckets, so the
+    # pieces (runs and buckets, not events) are computed once.
+    pieces = cut_lineage(pieces)
     touches = F.col("_at_start") | F.col("_at_end")
     interior = pieces.where(F.col("_failed") & ~touches)
     # Rank of each non-empty bucket, over at most three rows per bucket.
