@@ -161,10 +161,12 @@ def histogram(df: DataFrame, col: str, by: str = "business_type", bins: int = 30
         F.when(F.col("_mn") == F.col("_mx"), F.col("_mn") - 0.5).otherwise(F.col("_mn")).alias("_lo"),
         F.when(F.col("_mn") == F.col("_mx"), F.col("_mx") + 0.5).otherwise(F.col("_mx")).alias("_hi"),
     )
-    # The range table has one row per group: broadcast it (behind a row
-    # check) so the fact rows are binned where they are, without a shuffle.
-
-    tagged = df.select(by, v.alias("_v")).where(F.col("_v").isNotNull()).join(rng, by)
+    # One row per group: as a map in a scalar subquery it reaches the fact rows without a join,
+    # so they are binned where they are, whatever the planner knows of the table's size.
+    ranges = rng.where(F.col(by).isNotNull()).agg(
+        F.map_from_entries(F.collect_list(F.struct(by, F.struct("_lo", "_hi"))))).scalar()
+    tagged = df.select(by, v.alias("_v")).where(F.col("_v").isNotNull()).withColumn(
+        "_range", F.try_element_at(ranges, F.col(by))).select(by, "_v", "_range.*").where("_lo is not null")
     b = F.least(
         F.floor(F.lit(float(bins)) * (F.col("_v") - F.col("_lo")) / (F.col("_hi") - F.col("_lo"))) + 1,
         F.lit(bins),
