@@ -187,7 +187,7 @@ def score(text: Column, model: Model, spark: SparkSession) -> Column:
             doc, _, z = _score_chunk(w, shared.value)
             clean = np.bincount(doc, weights=-_softplus(z), minlength=len(w.bounds) - 1)
             out[w.first:w.first + len(clean)] = -np.expm1(clean)
-        return pa.array(np.clip(out, 0.0, 1.0))
+        return pa.array(np.clip(out, 0.0, 1.0) + 0.0)  # no negative zeros
 
     return run(text)
 
