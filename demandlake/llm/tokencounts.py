@@ -60,14 +60,15 @@ class Rollup:
         away, for all tokenizers when ``tokenizer`` is null. Deletes of unknown documents change
         nothing. Several changes of one key in a batch: the last by (op, source, lang, n_tokens)
         counts, revise over insert over delete; equal rows count once. Null ids form one document;
-        null source or language is a group of its own; a null count is 0. Other columns are ignored."""
+        null source, language or tokenizer (of an insert or revise) is a group of its own; a null count is 0. An
+        empty batch is committed and changes nothing. Other columns are ignored."""
         if batch in dict(self.commits()):
             return False
         attempt = f"batch={batch}-{uuid.uuid4().hex}"
         changes = changes.select("doc_id", F.lower("op").alias("op"), *KEYS,
                                  F.coalesce("n_tokens", F.lit(0)).cast("bigint").alias("n_tokens"))
         value = F.struct(F.col("op"), F.col("source"), F.col("lang"), F.col("n_tokens"))
-        latest = changes.filter("tokenizer is not null").groupBy("doc_id", "tokenizer").agg(F.max(value).alias("v"))
+        latest = changes.filter("tokenizer is not null or op <> 'delete'").groupBy("doc_id", "tokenizer").agg(F.max(value).alias("v"))
         latest = latest.select("doc_id", "tokenizer", "v.*")
         known = self.current()
         gone = changes.filter("op = 'delete' and tokenizer is null").select("doc_id").distinct()

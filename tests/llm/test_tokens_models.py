@@ -44,6 +44,14 @@ def test_rollup_batches(spark):
     assert totals(r)[("a", "en", "w")] == (2, 11)
 
 
+def test_rollup_counts_rows_without_a_tokenizer(spark):
+    r = tokencounts.Rollup(spark, work_path(spark, "t"))
+    r.commit(1, changes(spark, [(1, "insert", "a", "en", None, 10), (2, "insert", "a", "en", "w", 5)]))
+    assert totals(r) == {("a", "en", None): (1, 10), ("a", "en", "w"): (1, 5)}
+    r.commit(2, changes(spark, [(1, "revise", "a", "en", None, 4), (2, "delete", None, None, None, None)]))
+    assert totals(r) == {("a", "en", None): (1, 4)}
+
+
 def test_rollup_ignores_attempts_that_were_not_committed(spark):
     folder = work_path(spark, "t")
     r = tokencounts.Rollup(spark, folder)
