@@ -163,15 +163,40 @@ class Index:
                 yield d, k, *best
 
 
+def template_blocks(templates: dict[str, str], most: int | None = None) -> list[dict[str, str]]:
+    """The templates in blocks of at most ``most`` words (``MAX_TEMPLATE_WORDS``), one larger template alone."""
+    most = most or MAX_TEMPLATE_WORDS
+    blocks, room = [], 0
+    for name in sorted(templates):
+        n = sum(len(w.hash) for w in ta.word_chunks(ta.normalized(pa.array([templates[name]]))))
+        if not blocks or n > room:
+            blocks.append({})
+            room = most
+        blocks[-1][name] = templates[name]
+        room -= n
+    return blocks
+
+
 def scan_licenses(docs: DataFrame, templates: dict[str, str] | None = None, id_col: str = "doc_id",
                   text_col: str = "text") -> DataFrame:
     """One row per document and place of a license: doc_id, license, containment (share of the template's shingles,
     at least ``MIN_CONTAINMENT``), from_word, to_word.
 
-    Null and empty texts have none; repeated documents each give rows; null ids are carried; an
-    empty table or no templates give no rows; extra columns are ignored."""
-    spark = docs.sparkSession
-    shared = spark.sparkContext.broadcast(Index(TEMPLATES if templates is None else templates))
+    Templates are broadcast in blocks of at most ``MAX_TEMPLATE_WORDS`` words, and the documents are scanned once for
+    each block. Null and empty texts have none, as have null templates and those without words; repeated documents each
+    give rows; very long texts are gone through whole; null ids are carried; an empty table or no templates give no
+    rows; extra columns, whatever their names, are ignored."""
+    templates = {k: t for k, t in (TEMPLATES if templates is None else templates).items() if t is not None}
+    out = docs.sparkSession.createDataFrame([], SCHEMA)
+    blocks = template_blocks(templates)
+    for i, block in enumerate(blocks):
+        found = _scan(docs, Index(block), id_col, text_col)
+        out = out.union(found) if i else found
+    return out
+
+
+def _scan(docs: DataFrame, index: Index, id_col: str, text_col: str) -> DataFrame:
+    shared = docs.sparkSession.sparkContext.broadcast(index)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         index = shared.value

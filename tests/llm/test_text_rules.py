@@ -226,6 +226,16 @@ def test_license_edge_tables(spark):
         licenses.Index({"long": "word " * (licenses.MAX_TEMPLATE_WORDS + 1)})
 
 
+def test_templates_in_blocks_give_the_same(spark, monkeypatch):
+    rows = [row(i, f"{prose(40, i)} {t} {prose(20, i)}") for i, t in enumerate(licenses.TEMPLATES.values())]
+    df = spark.createDataFrame(rows, DDL)
+    want = sorted(map(tuple, licenses.scan_licenses(df).collect()))
+    size = max(len(t.split()) for t in licenses.TEMPLATES.values()) + 20
+    assert len(licenses.template_blocks(licenses.TEMPLATES, size)) > 2
+    monkeypatch.setattr(licenses, "MAX_TEMPLATE_WORDS", size)
+    assert sorted(map(tuple, licenses.scan_licenses(df, {**licenses.TEMPLATES, "none": None}).collect())) == want and want
+
+
 def test_empty_tables(spark):
     df = spark.createDataFrame([], DDL)
     assert quality.drop_low_quality(df).count() == 0
