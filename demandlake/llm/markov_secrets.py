@@ -39,7 +39,6 @@ _ASSIGN = re.compile(ASSIGN, re.IGNORECASE | re.ASCII)
 _ACCESS = re.compile(ACCESS)
 _HEX = re.compile(HEX.replace("+", "{%d,}" % MIN_HEX))  # the same runs: a run is always matched whole
 _CANDIDATE = re.compile(r"[A-Za-z0-9+/_-]{%d,}" % MIN_CANDIDATE)
-_MIXED = re.compile(r"[A-Za-z].*[0-9]|[0-9].*[A-Za-z]|[a-z][A-Z]")
 _N = len(ALPHABET) + 1
 _CODE = np.zeros(256, np.int64)
 _CODE[np.frombuffer(ALPHABET.encode(), np.uint8)] = np.arange(1, _N)
@@ -126,21 +125,29 @@ def fit(transitions: DataFrame) -> np.ndarray:
     return np.log((p[0] + uniform) / 2) - np.log(p[1])
 
 
+def _ratio(run: str, ratio: np.ndarray) -> float:
+    code = _CODE[np.frombuffer(run.encode(), np.uint8)]
+    return float(ratio[code[:-1], code[1:]].sum())
+
+
 def markov_spans(text: str, taken: list[tuple[int, int, int, int]], ratio: np.ndarray) -> list[tuple[int, int]]:
-    """Candidates outside the base spans whose ratio passes both thresholds. Only
-    strings with a letter and a digit, or with a capital after a small letter, are candidates."""
+    """Candidates whose ratio passes both thresholds. Of a candidate that overlaps base spans the parts outside
+    them are taken that pass the threshold per character, as the rest of one longer secret."""
     out = []
     for m in _CANDIDATE.finditer(text):
         s, e = m.span()
         run = m.group()
-        if not _MIXED.search(run):
-            continue
-        if any(a < e and s < b for a, _, b, _ in taken):
+        total = _ratio(run, ratio)
+        if total < MIN_SUM or total < MIN_MEAN * (len(run) - 1):
             continue
-        code = _CODE[np.frombuffer(run.encode(), np.uint8)]
-        total = float(ratio[code[:-1], code[1:]].sum())
-        if total >= MIN_SUM and total >= MIN_MEAN * (len(code) - 1):
-            out.append((s, e))
+        at, parts = s, []
+        for a, _, b, _ in taken:
+            if a < e and at < b:
+                parts.append((at, a))
+                at = max(at, b)
+        parts.append((at, e))
+        out += [(a, b) for a, b in parts if a < b and (
+            (a, b) == (s, e) or _ratio(text[a:b], ratio) >= MIN_MEAN * (b - a - 1))]
     return out
 
 

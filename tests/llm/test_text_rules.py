@@ -117,6 +117,20 @@ def test_secrets_equal_brute_force_and_markov_adds(spark):
     assert 200 in extra and 201 not in extra and not set(extra) & {5, 6, 7}
 
 
+def test_one_case_keys_and_the_rest_of_longer_tokens_are_found(spark):
+    r = random.Random(6)
+    syllables = "the ing tion er an re th and ha es of in to ou ly ble".split()
+    text = lambda: " ".join("".join(r.choice(syllables) for _ in range(r.randint(2, 6))) for _ in range(200))
+    df = spark.createDataFrame([row(i, text() + " " + "%032x" % r.getrandbits(128)) for i in range(60)], DDL)
+    ratio = markov_secrets.train(df, "text")
+    for letters in ("abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcXYZ0123456789QRSTmnop"):
+        keys = ["".join(r.choice(letters) for _ in range(32)) for _ in range(50)]
+        assert sum(markov_secrets.markov_spans(f"a {k} b", [], ratio) == [(2, 34)] for k in keys) >= 45
+    token = "Zk9q" + "0123456789abcdef0123456789abcdef01" + "QxT7vW2mLp8Rk3Jd9Nf"
+    found = markov_secrets.markov_spans(token, markov_secrets.base_spans(token), ratio)
+    assert found == [(0, 4), (38, 57)] and markov_secrets.scan_text(token, ratio, True)[-1] == "[SECRET]" * 3
+
+
 def test_redaction_takes_values_out(spark):
     df = spark.createDataFrame(secret_rows(), DDL)
     out = markov_secrets.redact_secrets(df)
