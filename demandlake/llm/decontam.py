@@ -243,7 +243,8 @@ def find_leaks(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_c
 def drop_leaks(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``docs`` without the rows in which an item was found; columns unchanged.
 
-    Rows are numbered in a staged copy, so of rows that share an id only those with a leak go."""
+    Rows are numbered in a staged copy, so of rows that share an id only those with a leak go. Null and empty texts
+    have none; repeated rows go alike; very long texts are searched whole; an empty table stays empty."""
     rows = stage(docs.select(F.monotonically_increasing_id().alias("row_id"),
                              F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("whole")), "rows")
     whole = F.col("whole")

@@ -201,7 +201,8 @@ def find_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
 def redact_secrets(docs: DataFrame, text_col: str = "text", length_col: str | None = "n_chars") -> DataFrame:
     """``docs`` with every secret value replaced by [SECRET]; ``length_col``, where it exists, becomes
-    the new length of the changed texts. All rows and columns stay."""
+    the new length of the changed texts. All rows and columns stay, whatever their names: null and empty texts
+    and null ids as they are, repeated rows alike; very long texts are scanned whole; an empty table stays empty."""
     ratio = train(docs, text_col)
     out = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("whole"),
                       scan(F.col(text_col), ratio, redact=True)["redacted"].alias("redacted"))

@@ -183,7 +183,9 @@ def apply_rules(docs: DataFrame, keep: list[str], text_col: str = "text", lang_c
 
 def drop_low_quality(docs: DataFrame, text_col: str = "text", lang_col: str = "lang",
                      source_col: str = "source") -> DataFrame:
-    """``docs`` without the rows that the rules reject; columns unchanged."""
+    """``docs`` without the rows that the rules reject; columns unchanged, whatever their names. Null and empty
+    texts have no words and go; null languages and sources are groups like any other; repeated rows are judged
+    alike; very long texts are measured whole; an empty table stays empty."""
     return apply_rules(docs, docs.columns, text_col, lang_col, source_col).filter("kept").select("whole.*")
 
 
