@@ -57,53 +57,60 @@ def header_names(text: Column) -> Column:
                        lambda c: F.trim(F.regexp_replace(F.trim(c), '^"|"$', "")))
 
 
+def _stored(df: DataFrame, name: str) -> DataFrame:
+    """A small table written and read back, so the planner knows its size and later uses do not derive it again."""
+    path = work_dir(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def block_index(landed: DataFrame) -> DataFrame:
     """(file, block, first_seq, before, names): one row per block of a file, with the
     lines before it and the names of the file's header. Rows number the blocks, not the lines."""
-    blocks = landed.groupBy("file", "block").agg(
-        F.min("seq").alias("first_seq"), F.count(F.lit(1)).alias("n"), F.min_by("text", "seq").alias("head"))
+    blocks = _stored(landed.groupBy("file", "block").agg(
+        F.min("seq").alias("first_seq"), F.count(F.lit(1)).alias("n")), "blocks")
+    first = blocks.where("block = 0").select("file", "block", F.col("first_seq").alias("seq"))
+    heads = landed.join(first, ["file", "block", "seq"]).select("file", header_names(F.col("text")).alias("names"))
     by = Window.partitionBy("file").orderBy("block")
-    return blocks.select(
-        "file", "block", "first_seq",
-        (F.sum("n").over(by) - F.col("n")).alias("before"),
-        header_names(F.first("head").over(by)).alias("names"))
+    before = blocks.select("file", "block", "first_seq", (F.sum("n").over(by) - F.col("n")).alias("before"))
+    return before.join(heads, "file").select("file", "block", "first_seq", "before", "names")
 
 
-def _cells(text: Column, width: int) -> Column:
-    """Struct (cells, malformed) of a line by a header of ``width`` columns."""
-    names = [f"c{i}" for i in range(width)]
-    schema = ", ".join(f"{n} string" for n in names) + f", {_CORRUPT} string"
-    parsed = F.from_csv(text, schema, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": _CORRUPT})
-    return F.struct(F.array(*[parsed[n] for n in names]).alias("cells"),
-                    parsed[_CORRUPT].isNotNull().alias("malformed"))
+def _split(text: Column, width: int) -> Column:
+    """The cells c0, c1, ... of a line by a header of ``width`` columns, and the line if it is malformed."""
+    schema = ", ".join(f"c{i} string" for i in range(width)) + f", {_CORRUPT} string"
+    return F.from_csv(text, schema, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": _CORRUPT})
 
 
-def parse_lines(landed: DataFrame, columns: Sequence[str]) -> DataFrame:
+def parse_lines(landed: DataFrame, columns: Sequence[str], index: DataFrame | None = None) -> DataFrame:
     """(file, line, text, n_expected, malformed, ``columns`` as text) of every line that is no
     header and not blank. Of equal names in a header the first counts; a column that a
-    file lacks is null."""
-    index = block_index(landed)
+    file lacks is null. ``index`` is the ``block_index`` if it is there already."""
+    index = block_index(landed) if index is None else index
     widths = [r[0] for r in index.select(F.size("names")).distinct().orderBy(F.size("names")).collect()]
-    rows = landed.join(index, ["file", "block"]).select(
-        "file", (F.col("before") + F.col("seq") - F.col("first_seq") + 1).alias("line"), "text", "names")
+    # where each asked column stands in a header: found once a block, not once a line
+    places = index.select("file", "block", "before", "first_seq", F.size("names").cast("int").alias("n_expected"), F.array(
+        *[(F.array_position("names", F.lit(c)) - 1).cast("int") for c in columns]).alias("at"))
+    rows = landed.join(places, ["file", "block"]).select(
+        "file", (F.col("before") + F.col("seq") - F.col("first_seq") + 1).alias("line"), "text", "n_expected", "at")
     rows = rows.where((F.col("line") > 1) & (F.length(F.trim("text")) > 0))
-    parsed = F.lit(None).cast("struct<cells: array<string>, malformed: boolean>")
+    # each line is split once, in a projection of its own; the cells are picked from the result
+    rows = rows.withColumns({f"_w{w}": F.when(F.col("n_expected") == w, _split(F.col("text"), w)) for w in widths})
+    cells = F.lit(None).cast("array<string>")
     for w in widths:
-        parsed = F.when(F.size("names") == w, _cells(F.col("text"), w)).otherwise(parsed)
-    rows = rows.withColumn("parsed", parsed)
-    asked = []
-    for name in columns:
-        at = F.array_position("names", F.lit(name))
-        asked.append(F.when(at > 0, F.get(F.col("parsed.cells"), (at - 1).cast("int"))).alias(name))
-    return rows.select("file", "line", "text", F.size("names").alias("n_expected"),
-                       F.col("parsed.malformed").alias("malformed"), *asked)
+        mine = F.col("n_expected") == w
+        cells = F.when(mine, F.array(*[F.col(f"_w{w}.c{i}") for i in range(w)])).otherwise(cells)
+    broken = F.coalesce(*[F.col(f"_w{w}.{_CORRUPT}") for w in widths], F.lit(None).cast("string"))
+    rows = rows.select("file", "line", "text", "n_expected", "at", cells.alias("cells"), broken.isNotNull().alias("malformed"))
+    asked = [F.get("cells", F.get("at", F.lit(i))).alias(name) for i, name in enumerate(columns)]
+    return rows.select("file", "line", "text", "n_expected", "malformed", *asked)
 
 
-def file_report(landed: DataFrame, parsed: DataFrame, columns: Sequence[str]) -> DataFrame:
+def file_report(landed: DataFrame, parsed: DataFrame, columns: Sequence[str], index: DataFrame | None = None) -> DataFrame:
     """(file, n_rows, n_malformed, missing, unknown): per file its line counts and, sorted and
     comma-joined, the asked columns it lacks and those it has beyond them. A file of a
     header only has no lines; one without a line is not listed."""
-    heads = block_index(landed).where("block = 0").select("file", "names")
+    heads = (block_index(landed) if index is None else index).where("block = 0").select("file", "names")
     counts = parsed.groupBy("file").agg(F.count_if(~F.col("malformed")).alias("n_rows"),
                                         F.count_if("malformed").alias("n_malformed"))
     asked = F.array(*[F.lit(c) for c in columns])
@@ -121,10 +128,11 @@ def read_uploads(spark: SparkSession, paths: str | Sequence[str], columns: Seque
     The parsed lines are written once beside the landed ones, so rows, quarantine and
     counts do not parse again."""
     landed = land_lines(spark, paths, folder)
+    index = _stored(block_index(landed), "index")
     path = work_dir(spark, "parsed")
-    parsed = parse_lines(landed, columns)
+    parsed = parse_lines(landed, columns, index)
     parsed.write.partitionBy("malformed").parquet(path)
     parsed = spark.read.schema(parsed.schema).parquet(path)
     rows = parsed.where(~F.col("malformed")).select("file", "line", *columns)
     quarantine = parsed.where("malformed").select("file", "line", "text", "n_expected")
-    return Uploads(rows, quarantine, file_report(landed, parsed, columns))
+    return Uploads(rows, quarantine, file_report(landed, parsed, columns, index))
