@@ -20,6 +20,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from demandlake.schema import BUSINESS_TYPES, KNOWN_ITEMS, SALES_SCHEMA
+from demandlake.session import cut_lineage, work_dir
 
 DEFAULT_SF_DIR = "/root/testdata/sf0.01"
 
@@ -104,8 +105,6 @@ def load_sales(spark: SparkSession, sf_dir: str = DEFAULT_SF_DIR, materialize: b
     cannot reuse the main plan's exchange), so lineitem is scanned once."""
     df = sales_from_tables(table(spark, sf_dir, "lineitem"), table(spark, sf_dir, "part"))
     if materialize:
-        from demandlake.session import cut_lineage
-
         df = cut_lineage(df)
     return df
 
@@ -263,12 +262,26 @@ for _name, _col in (("available", "quantity_available"), ("sold", "quantity_sold
         f"THEN CAST(TRY_CAST({_col} AS DOUBLE) AS BIGINT) END"))
 
 
-def naive_pairs(sales: DataFrame, complete: bool = True) -> DataFrame:
+#: rows of the series windows that one task holds, however large the table
+SERIES_TASK_ROWS = 500_000
+
+
+def series_parts(spark: SparkSession, sf_dir: str) -> int:
+    """Number of tasks for the series windows: lineitem has at least as many rows as the sales table, and its
+    number of rows is read from the footers of its files."""
+    return -(-table(spark, sf_dir, "lineitem").count() // SERIES_TASK_ROWS)
+
+
+def naive_pairs(sales: DataFrame, complete: bool = True, parts: int | None = None) -> DataFrame:
     """Actual vs a naive forecast (demand 7 rows earlier in the series), so
     the accuracy operators can be checked without a model. The first rows of a
-    series have no forecast; ``complete=False`` keeps them."""
+    series have no forecast; ``complete=False`` keeps them. ``parts`` (``series_parts``) deals the series
+    over so many tasks if the session's number of shuffle partitions is less."""
     from pyspark.sql import Window
 
+    if parts and parts > int(sales.sparkSession.conf.get("spark.sql.shuffle.partitions")):
+        sales = sales.select("business_type", "item_name", "date", "customer_demand", "quantity_available").repartition(
+            parts, "business_type", "item_name")
     w = Window.partitionBy("business_type", "item_name").orderBy("date")
     return (
         sales.select("business_type", "item_name", "date",
@@ -289,11 +302,11 @@ def plans(sales: DataFrame) -> DataFrame:
     )
 
 
-def accuracy_log(sales: DataFrame) -> DataFrame:
-    """Accuracy log: one entry per (series, week) of naive-forecast scores."""
+def accuracy_log(sales: DataFrame, parts: int | None = None) -> DataFrame:
+    """Accuracy log: one entry per (series, week) of naive-forecast scores; ``parts`` as in ``naive_pairs``."""
     from demandlake.operators.monitor import score_actuals
 
-    return score_actuals(naive_pairs(sales), ts="date")
+    return score_actuals(naive_pairs(sales, parts=parts), ts="date")
 
 
 def uploads(lineitem: DataFrame, part: DataFrame) -> DataFrame:
@@ -521,8 +534,11 @@ def upload_lines(sales: DataFrame) -> DataFrame:
 
 
 def write_uploads(sales: DataFrame, base: str) -> list[str]:
-    """Writes the lines under ``base``/layout=<name>, each file with its layout's header."""
-    lines = upload_lines(sales)
+    """Writes the lines under ``base``/layout=<name>, each file with its layout's header. The lines are
+    made once for all layouts."""
+    made = work_dir(sales.sparkSession, "lines")
+    upload_lines(sales).write.partitionBy("layout").parquet(made)
+    lines = sales.sparkSession.read.schema("line string, layout string").parquet(made)
     paths = []
     for name, (_, cols) in UPLOAD_LAYOUTS.items():
         paths.append(f"{base}/layout={name}")
