@@ -9,8 +9,9 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from demandlake.functions import calendar as cal
 from demandlake.operators.features import waste_pct
@@ -137,13 +138,31 @@ def violations(df: DataFrame) -> DataFrame:
     )
 
 
+def gap_days(date: str, following: Column, by: Sequence[str]) -> Column:
+    """Array of the days after ``date`` and before ``following``, the next day of the group; null if there are none
+    or ``following`` is ``date`` itself. In a group with a null key no day counts as present."""
+    known = F.lit(True)
+    for k in by:
+        known = known & F.col(k).isNotNull()
+    first = F.when(known, F.date_add(date, 1)).otherwise(F.col(date))
+    last = F.coalesce(F.date_sub(following, 1), F.when(~known, F.col(date)))
+    return F.when(first <= last, F.sequence(first, last, F.expr("interval 1 day")))
+
+
 def missing_dates(df: DataFrame, by: Sequence[str] | None = None, date: str = "date") -> DataFrame:
     """Calendar days between min and max date with no row.
 
     Whole table by default, or per group ``by``. The calendar has one row
     per day (bounded by the date range), and the anti join is on
-    (group, date) with only the distinct present days on the right."""
+    (group, date) with only the distinct present days on the right. Groups are gone through by
+    their distinct days, each of which gives the days up to the next, so the work is dealt like the
+    days and not like the groups, of which one task can hold thousands."""
     by = list(by or [])
+    if by and isinstance(df.schema[date].dataType, T.DateType):
+        present = df.select(*by, date).distinct()
+        following = F.lead(date).over(Window.partitionBy(*by).orderBy(date))
+        gaps = present.withColumn("_days", gap_days(date, following, by))
+        return gaps.select(*by, F.explode("_days").alias(date))
     rng = df.groupBy(*by).agg(F.min(date).alias("_lo"), F.max(date).alias("_hi"))
     calendar = rng.select(*by, F.explode(F.sequence("_lo", "_hi", F.expr("interval 1 day"))).alias(date))
     present = df.select(*by, date).distinct()

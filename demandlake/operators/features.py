@@ -13,6 +13,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from demandlake.functions import calendar as cal
 from demandlake.functions import items
@@ -179,11 +180,23 @@ def densify(df: DataFrame, keys: Sequence[str] = SERIES_KEYS, date: str = "date"
     Lags and rolling frames over the dense table count days, not rows
     ("previous week" = 7 days earlier). The calendar holds one row per
     series-day, so it is bounded by the date range."""
-    from demandlake.operators.eda import missing_dates
+    from demandlake.operators.eda import gap_days, missing_dates
 
     keys = list(keys)
-    gaps = missing_dates(df.select(*keys, date), by=keys, date=date).withColumn(FILLED, F.lit(True))
-    return df.withColumn(FILLED, F.lit(False)).unionByName(gaps, allowMissingColumns=True)
+    if not isinstance(df.schema[date].dataType, T.DateType):
+        gaps = missing_dates(df.select(*keys, date), by=keys, date=date).withColumn(FILLED, F.lit(True))
+        return df.withColumn(FILLED, F.lit(False)).unionByName(gaps, allowMissingColumns=True)
+    # a row is followed by the days up to the next row of its series: one exchange, which the windows over
+    # the dense table need as well, and no join
+    following = F.lead(date).over(series_window(keys, date))
+    day = F.struct(F.col(date).alias("day"), F.lit(False).alias("filled"))
+    gaps = F.coalesce(F.transform(gap_days(date, following, keys), lambda d: F.struct(d.alias("day"), F.lit(True).alias("filled"))),
+                      F.array().cast("array<struct<day:date,filled:boolean>>"))
+    rows = df.withColumn("_gaps", F.concat(F.array(day), gaps)).withColumn("_day", F.explode("_gaps"))
+    filled = F.col("_day.filled")
+    kept = [F.col("_day.day").alias(c) if c == date else F.col(c) if c in keys else F.when(~filled, F.col(c)).alias(c)
+            for c in df.columns]
+    return rows.select(*kept, filled.alias(FILLED))
 
 
 def build_features(
