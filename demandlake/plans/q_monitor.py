@@ -33,7 +33,7 @@ def _pairs(spark, sf_dir):
 
 
 def _log(spark, sf_dir):
-    return td.accuracy_log(td.load_sales(spark, sf_dir))
+    return td.accuracy_log(td.load_sales(spark, sf_dir), td.series_parts(spark, sf_dir))
 
 
 def _reqlog(spark, sf_dir):
