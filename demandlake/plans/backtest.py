@@ -1,15 +1,15 @@
 """Rolling-origin backtests (M13, H6): the recursive forecast as it would have been made on
 many past days at once, scored by how far ahead each day lay.
 
-Every series is brought together once (one shuffle; a series has at most one row per
-day). From its sorted rows each origin takes the 30 rows up to it as history and the
+The rows of a series that some origin reads are brought together once (one shuffle; a series has
+at most one row per day). From these sorted rows each origin takes the 30 rows up to it as history and the
 days after it as conditions and actuals, so one (series, origin) is a row of the
 forecaster's state, and the seven scoring steps run over all of them together.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from demandlake.functions import items as it
@@ -26,12 +26,24 @@ def weekly_origins(history: DataFrame, count: int) -> Column:
     return F.array(*[F.date_sub(last, k * HORIZON_DAYS) for k in range(1, count + 1)])
 
 
+def near_rows(history: DataFrame, origins: Column, horizon: int = HORIZON_DAYS) -> DataFrame:
+    """The rows that an origin reads: of a series the days after the oldest origin, up to the end of the last
+    horizon, and the ``HISTORY_ROWS`` rows before them, however long the series is."""
+    newest_first = Window.partitionBy(*SERIES_KEYS).orderBy(*[F.col(c).desc() for c in _ROW]).rowsBetween(
+        Window.unboundedPreceding, Window.currentRow)
+    rows = history.where(F.col("date") <= F.date_add(F.array_max(origins), horizon)).select(
+        *dict.fromkeys([*SERIES_KEYS, *_ROW]))
+    older = F.count_if(F.col("date") <= F.array_min(origins)).over(newest_first)
+    return rows.withColumn("_older", older).where(F.col("_older") <= HISTORY_ROWS).drop("_older")
+
+
 def origin_states(history: DataFrame, origins: Column, horizon: int = HORIZON_DAYS) -> DataFrame:
     """One row per series and origin that has a history row up to the origin and an actual
     day after it: the columns of a week request, ``hist``, ``actuals`` (date, demand) and the
     forecaster's flags. Weather and holidays are those of the days, 'Clear' and 0 for days
     without a row."""
-    series = history.groupBy(*SERIES_KEYS).agg(F.array_sort(F.collect_list(F.struct(*_ROW))).alias("rows"))
+    near = near_rows(history, origins, horizon)
+    series = near.groupBy(*SERIES_KEYS).agg(F.array_sort(F.collect_list(F.struct(*_ROW))).alias("rows"))
     at = series.withColumn("origin", F.explode(origins))
     at = at.withColumn("past", F.filter("rows", lambda r: r["date"] <= F.col("origin"))).withColumn(
         "future", F.filter("rows", lambda r: (r["date"] > F.col("origin")) & (
@@ -56,12 +68,14 @@ def origin_states(history: DataFrame, origins: Column, horizon: int = HORIZON_DA
         (F.datediff("origin", last["date"]) + 1).alias("stale_days"))
 
 
-def backtest(model, history: DataFrame, origins: Column, horizon: int = HORIZON_DAYS, checkpoint: bool = True) -> DataFrame:
+def backtest(model, history: DataFrame, origins: Column, horizon: int = HORIZON_DAYS, checkpoint: bool = True,
+             states: DataFrame | None = None) -> DataFrame:
     """(business_type, item_name, origin, day_number, date, y_true, y_pred) for every forecast day
-    that has an actual."""
+    that has an actual. ``states`` are the ``origin_states`` of the arguments, if several models share them."""
     if not 1 <= horizon <= HORIZON_DAYS:
         raise ValueError(f"horizon must be 1 to {HORIZON_DAYS} days")
-    done = fc.forecast_state(model, origin_states(history, origins, horizon), horizon, checkpoint)
+    states = states if states is not None else origin_states(history, origins, horizon)
+    done = fc.forecast_state(model, states, horizon, checkpoint)
     rows = done.select(*SERIES_KEYS, "origin", "preds", F.explode("actuals").alias("a"))
     ahead = F.datediff(F.col("a.date"), F.col("origin"))
     return rows.select(*SERIES_KEYS, "origin", ahead.alias("day_number"), F.col("a.date").alias("date"),

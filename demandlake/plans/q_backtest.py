@@ -13,7 +13,7 @@ from demandlake.plans.q_forecast_fixed import _AGG, COEFFICIENTS, INTERCEPT, Fix
 from demandlake.plans.registry import register
 from demandlake.plans.sqltext import features_sql
 from demandlake.schema import FEATURE_COLS, HORIZON_BANDS, HORIZON_DAYS, LABEL_COL
-from demandlake.session import cut_lineage
+from demandlake.session import cut_lineage, stored
 from demandlake.sources import testdata as td
 from demandlake.sources.testdata import SALES_SQL, with_sql
 
@@ -74,12 +74,15 @@ def backtest_horizon_ridge(spark, sf_dir):
     current row in its rolling features, as published, and with past rows only."""
     sales = _origin_history(spark, sf_dir)
     origins = bt.weekly_origins(sales, ORIGINS)
+    states = cut_lineage(bt.origin_states(sales, origins))
+    first = F.date_sub(sales.agg(F.max("date")).scalar(), ORIGINS * HORIZON_DAYS)
+    feats = fe.build_features(sales, include_current=None).where(F.col("date") <= first)
+    train = stored(feats.select(*FEATURE_COLS, *fe.past_columns(feats), LABEL_COL), "train")
     out = None
     for current in (True, False):
-        feats = cut_lineage(fe.build_features(sales, include_current=current))
-        first = F.date_sub(sales.agg(F.max("date")).scalar(), ORIGINS * HORIZON_DAYS)
-        model = md.ridge(1.0).fit(feats.where(F.col("date") <= first))
-        rows = bt.score_by_horizon(bt.backtest(model, sales, origins)).withColumn("include_current", F.lit(current))
+        model = md.ridge(1.0, stored=True).fit(fe.rolling_kind(train, current))
+        scored = bt.backtest(model, sales, origins, states=states)
+        rows = bt.score_by_horizon(scored).withColumn("include_current", F.lit(current))
         out = rows if out is None else out.unionByName(rows)
     return out
 

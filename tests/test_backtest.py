@@ -57,3 +57,20 @@ def test_scores_by_band(spark):
         first, last = map(int, band.split("-"))
         part = np.array([(y, p) for b, d, y, p in rows if first <= d <= last and business in (b, "All")])
         assert x.n_predictions == len(part) and abs(x.mae - np.abs(part[:, 0] - part[:, 1]).mean()) < 1e-9
+
+
+def test_states_take_only_the_rows_near_an_origin(spark):
+    rows = sales_rows(400, start=dt.date(2024, 6, 27)) + sales_rows(300, "Cafe", "Tea", dt.date(2024, 1, 1))
+    sales = spark.createDataFrame(rows, SALES_DDL)
+    origins = bt.weekly_origins(sales, 2)
+    near = bt.near_rows(sales, origins)
+    assert {r.item_name: r["count"] for r in near.groupBy("item_name").count().collect()} == {"Jollof Rice": 30 + 14, "Tea": 30}
+    states = {r.origin: r for r in bt.origin_states(sales, origins).collect()}
+    days = sorted(r[2] for r in rows if r[1] == "Jollof Rice")
+    assert sorted(states) == [days[-15], days[-8]]
+    for origin, r in states.items():
+        assert [h.date for h in r.hist] == [d for d in days if d <= origin][-30:]
+        assert [a.date for a in r.actuals] == [d for d in days if d > origin][:7]
+    shared = bt.origin_states(sales, origins)
+    got = bt.backtest(FixedLinear(), sales, origins, states=shared).collect()
+    assert sorted(got) == sorted(bt.backtest(FixedLinear(), sales, origins).collect())

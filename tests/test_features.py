@@ -104,3 +104,13 @@ def test_densified_lags_count_days(spark):
     d8 = dt.date(2025, 6, 8)  # 7 days earlier is 06-01 (demand 10); 7 rows earlier does not exist
     assert by_day[d8].prev_week_demand == 10 and by_row[d8].prev_week_demand == 0
     assert by_day[d8].rolling_3day_demand == np.mean([15, 16, 17])
+
+
+def test_both_kinds_of_rolling_columns_at_once(spark):
+    sales = spark.createDataFrame(sales_rows(40) + sales_rows(9, "Cafe", "Iced Tea 9"), SALES_DDL)
+    both = fe.build_features(sales, include_current=None)
+    assert len(fe.past_columns(both)) == 6
+    for current in (True, False):
+        want = fe.build_features(sales, include_current=current)
+        got = fe.rolling_kind(both, current).select(*want.columns)
+        assert sorted(map(str, got.collect())) == sorted(map(str, want.collect()))

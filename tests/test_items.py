@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from demandlake.functions.items import encode_business, encode_category, guess_item, is_known_item, item_features
+from demandlake.functions.items import encode_business, encode_category, guess_item, is_known_item, item_features, item_struct
 
 
 def _feats(spark, rows, keywords=True):
@@ -70,3 +70,14 @@ def test_is_known(spark):
     got = [r.k for r in df.select(is_known_item("n").alias("k")).collect()]
     assert got == [True, False, False]
     assert df.where(F.col("n").isNull()).count() == 1
+
+
+def test_struct_of_both_equals_the_two_columns(spark):
+    names = ["Jollof Rice", "Steak", "Iced Tea 3", "Rye Bread", "Meat Pie", "Wrap", "Dish 7", "", None]
+    rows = [(n, p, s) for n in names for p in (10.0, 30.0, None) for s in (1.0, 5.0, 13.0, 30.0, None)]
+    df = spark.createDataFrame(rows, "name string, price double, shelf double")
+    for keywords in (True, False):
+        cat, cx = item_features("name", "price", "shelf", keywords)
+        both = df.select(F.struct(cat.alias("category"), cx.alias("complexity")).alias("a"),
+                         item_struct("name", "price", "shelf", keywords).alias("b"))
+        assert both.where(~F.col("a").eqNullSafe(F.col("b"))).count() == 0
