@@ -102,13 +102,17 @@ def quality_checks(df: DataFrame, dup_keys: Sequence[str] = ("date", "item_name"
     quarantine of ``sources.uploads``, adds the rule malformed_line."""
     spark = df.sparkSession
     rules = sales_row_rules(df, date_col)
-    aggs = [F.count_if(pred).cast("bigint").alias(f"r{i}") for i, (_, _, pred) in enumerate(rules)]
-    aggs.append(F.count(F.lit(1)).cast("bigint").alias("_rows"))
+    counts = [F.count_if(pred).cast("bigint").alias(f"r{i}") for i, (_, _, pred) in enumerate(rules)]
+    counts.append(F.count(F.lit(1)).cast("bigint").alias("_rows"))
     if _has(df, date_col, "item_name"):
+        # counted by item first, so that the number of items needs no second copy of the rows
         d = parse_date(date_col)
-        aggs += [F.min(d).alias("_dmin"), F.max(d).alias("_dmax"),
-                 F.countDistinct("item_name").cast("bigint").alias("_items")]
-    one = df.agg(*aggs)
+        by_item = df.groupBy(F.col("item_name").alias("_item")).agg(*counts, F.min(d).alias("_dmin"), F.max(d).alias("_dmax"))
+        total = lambda name: F.coalesce(F.sum(name), F.lit(0)).cast("bigint").alias(name)
+        one = by_item.agg(*[total(f"r{i}") for i in range(len(rules))], total("_rows"), F.min("_dmin").alias("_dmin"),
+                          F.max("_dmax").alias("_dmax"), F.count("_item").cast("bigint").alias("_items"))
+    else:
+        one = df.agg(*counts)
     stack_parts = []
     for i, (name, level, _) in enumerate(rules):
         stack_parts += [f"'{name}'", f"'{level}'", f"r{i}"]

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from demandlake.operators import quality as qa
 from demandlake.plans.registry import register
-from demandlake.session import work_dir
+from demandlake.session import stored, work_dir
 from demandlake.sources import testdata as td
 from demandlake.sources.sales import read_sales_uploads, type_sales
 from demandlake.sources.testdata import (
@@ -54,8 +54,8 @@ _CHECKS_SQL = with_sql(SALES_SQL, RAW_SALES_SQL) + _CHECKS_BODY
 
 
 def _read(spark, sf_dir):
-    """The dirty export as ``read_sales`` would type it, bad cells named."""
-    return type_sales(td.raw_sales(td.load_sales(spark, sf_dir)), qa.BAD_CELLS)
+    """The dirty export as ``read_sales`` would type it, bad cells named. The checks read it more than once."""
+    return stored(type_sales(td.raw_sales(td.load_sales(spark, sf_dir)), qa.BAD_CELLS), "typed")
 
 
 @register("quality_sales_checks", "rule:s, level:s, n_failed:i", _CHECKS_SQL)

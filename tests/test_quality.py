@@ -72,3 +72,14 @@ def test_request_rules(spark):
     assert reasons[15] == ["holiday_invalid"]
     assert reasons[60] == ["price_not_positive"]
     assert [r.request_id for r in ok.collect()] == [16]
+
+
+def test_items_are_counted_without_copies_of_the_rows(spark):
+    rows = sales_rows(12) + sales_rows(3, "Cafe", "Tea")
+    df = spark.createDataFrame([*rows, ("Cafe", None, *rows[0][2:])], SALES_DDL)
+    checks = qa.quality_checks(df)
+    assert "Expand" not in checks._jdf.queryExecution().optimizedPlan().toString()
+    got = {r.rule: r.n_failed for r in checks.collect()}
+    assert got["continuity"] == 12 * 2 - 16
+    empty = {r.rule: r.n_failed for r in qa.quality_checks(df.limit(0)).collect()}
+    assert set(empty.values()) == {0}
