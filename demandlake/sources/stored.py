@@ -17,6 +17,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from demandlake.operators.contract import upsert
+from demandlake.session import stored
 from demandlake.sources.versions import VersionLog
 
 PART = "_part"
@@ -48,7 +49,7 @@ class StoredTable:
     def merge(self, batch: DataFrame) -> int:
         """Merges the batch's rows and returns the version that holds them. Rows of a null key form a key
         like any other; an empty batch makes no version."""
-        batch = batch.select(*[F.col(f.name).cast(f.dataType) for f in self.schema.fields])
+        batch = stored(batch.select(*[F.col(f.name).cast(f.dataType) for f in self.schema.fields]), "batch")  # read twice
         touched = [str(r[0]) for r in batch.select(self.part_of()).distinct().collect()]  # at most ``parts`` numbers
 
         def rewrite(number: int, entry: dict | None) -> dict | None:
@@ -56,8 +57,9 @@ class StoredTable:
             if not touched:
                 return None
             target = f"data/{uuid.uuid4().hex}"
-            new = upsert(self._read(folders, touched), batch, self.keys, self.order).select(*self.schema.names)
-            new.withColumn(PART, self.part_of()).repartition(PART, *self.keys).write.partitionBy(PART).parquet(
+            # grouped by part as well, so the rows are shuffled once, a part over many tasks
+            old, new = (df.withColumn(PART, self.part_of()) for df in (self._read(folders, touched), batch))
+            upsert(old, new, [PART, *self.keys], self.order).select(*self.schema.names, PART).write.partitionBy(PART).parquet(
                 f"{self.folder}/{target}")
             return {"folders": folders | dict.fromkeys(touched, target), "rewritten": sorted(touched, key=int)}
 

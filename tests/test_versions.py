@@ -165,3 +165,16 @@ def test_ensemble_is_a_stage_of_a_saved_pipeline(spark, tmp_path):
         members["Ridge"], members["Boosted"], outer)]
     assert abs(parts[2][0] - (0.5 * (0.25 * parts[0][0] + 0.75 * parts[1][0]) + 0.5 * parts[0][0])) < 1e-9
     assert md.permutation_importance(outer, feats, ["business_type", "item_name", "date"]).count() == 34
+
+
+def test_a_merge_computes_its_batch_once(spark, tmp_path):
+    calls = spark.sparkContext.accumulator(0)
+
+    def seen(x):
+        calls.add(1)
+        return x
+
+    t = StoredTable(spark, str(tmp_path / "once"), "k int, at int", ["k"], "at", 4)
+    batch = spark.range(50).select(F.udf(seen, "int")(F.col("id").cast("int")).alias("k"), F.lit(1).alias("at"))
+    t.merge(batch)
+    assert calls.value == 50 and t.read().count() == 50
