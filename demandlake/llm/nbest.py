@@ -20,6 +20,7 @@ import re
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
+from operator import add
 from struct import pack
 
 import numpy as np
@@ -57,9 +58,13 @@ class Pieces:
             else:
                 self.decoded.append(piece.replace(SPACE, " ").encode())
                 self.score[piece] = (model.get_score(i), i)
-        #: every prefix of a piece: (score, ids) of the piece, or () where it is none
-        self.trie: dict[str, tuple] = {p[:k]: () for p in self.score for k in range(2, len(p) + 1)}
-        self.trie |= {p: (v, (i,)) for p, (v, i) in self.score.items()}
+        #: character -> (characters that follow in a piece, score and ids of the piece that ends here or None)
+        self.trie: dict[str, tuple] = {}
+        for p, (v, i) in sorted(self.score.items()):  # a piece comes before the pieces that it begins
+            after = self.trie
+            for c in p[:-1]:
+                after = after.setdefault(c, ({}, None))[0]
+            after[p[-1]] = ({}, (v, (i,)))
         self.pairs = {p[k:k + 2] for p in self.score for k in range(len(p) - 1)}
         letters = "abcdefghijklmnopqrstuvwxyz"
         rare = {c: "".join(d for d in letters if c + d not in self.pairs) for c in letters}
@@ -74,19 +79,23 @@ class Pieces:
 
     def edges(self, part: str) -> list[list[tuple[int, float, tuple[int, ...]]]]:
         """For each end position the edges (start, score, ids), longest first."""
-        n, get = len(part), self.trie.get
-        ending: list[list] = [[] for _ in range(n + 1)]
-        for i in range(n):
-            for j in range(i + 1, n + 1):
-                edge = get(part[i:j])
-                if edge is None:
-                    if j > i + 1:
-                        break
-                    edge = (self.fallback, tuple(self.byte_ids[b] for b in part[i].encode("utf-8", "replace")))
+        ending: list[list] = [[] for _ in range(len(part) + 1)]
+        for i, first in enumerate(part):
+            after, edge = self.trie.get(first) or ({}, None)
+            ending[i + 1].append((i, *(edge or self.as_bytes(first))))
+            for j in range(i + 1, len(part)):
+                node = after.get(part[j])
+                if node is None:
+                    break
+                after, edge = node
                 if edge:
-                    ending[j].append((i, *edge))
+                    ending[j + 1].append((i, *edge))
         return ending
 
+    def as_bytes(self, char: str) -> tuple[float, tuple[int, ...]]:
+        """The edge of a character that is no piece."""
+        return self.fallback, tuple(self.byte_ids[b] for b in char.encode("utf-8", "replace"))
+
     def forward(self, ending) -> tuple[list[float], list]:
         """Best score from the start to each position and the last edge of that path.
         Of equal scores the one of the longer last piece wins."""
@@ -104,36 +113,41 @@ class Pieces:
     def solve(self, part: str) -> tuple[bytes, float, float]:
         """(ids of the best segmentation as unsigned 32-bit integers, its score, lead over the second best),
         by a forward pass that keeps the two best scores of every position."""
-        n, get = len(part), self.trie.get
-        best, second, back = [0.0] + [-1e300] * n, [-1e300] * (n + 1), [None] * (n + 1)
-        for i in range(n):  # all edges that end at i are known: its scores are final
+        n, trie = len(part), self.trie
+        best, second, start, back = [0.0] + [-1e300] * n, [-1e300] * (n + 1), [0] * (n + 1), [()] * (n + 1)
+        for i, first in enumerate(part):  # all edges that end at i are known: its scores are final
             here, next_best = best[i], second[i]
-            for j in range(i + 1, n + 1):
-                edge = get(part[i:j])
-                if edge is None:
-                    if j > i + 1:
-                        break
-                    edge = (self.fallback, tuple(self.byte_ids[b] for b in part[i].encode("utf-8", "replace")))
+            j = i + 1
+            after, edge = trie.get(first) or ({}, None)
+            if edge is None:
+                edge = self.as_bytes(first)
+            while True:
                 if edge:
-                    v = here + edge[0]
+                    score, ids = edge
+                    v = here + score
                     top = best[j]
                     if v > top:  # of equal scores the one of the longer last piece, which starts first, stays
-                        best[j], back[j] = v, (i, edge[1])
-                        v = next_best + edge[0]
+                        best[j], start[j], back[j] = v, i, ids
+                        v = next_best + score
                         second[j] = top if top > v else v
                     elif v > second[j]:
                         second[j] = v
-        ids: list[int] = []
+                if j == n or part[j] not in after:
+                    break
+                after, edge = after[part[j]]
+                j += 1
+        path: list[int] = []
         j = n
         while j:
-            j, k = back[j]
-            ids[:0] = k
-        return pack(f"<{len(ids)}I", *ids), best[n], best[n] - second[n] if second[n] > -1e299 else float("inf")
+            path[:0] = back[j]
+            j = start[j]
+        return pack(f"<{len(path)}I", *path), best[n], best[n] - second[n] if second[n] > -1e299 else float("inf")
 
     def split(self, unit: str) -> list[str]:
         """Parts between which no piece can lie."""
-        cuts = [0, *(k for k in range(1, len(unit)) if unit[k - 1:k + 1] not in self.pairs), len(unit)]
-        return [unit[a:b] for a, b in zip(cuts, cuts[1:], strict=False)]
+        pairs = self.pairs
+        cuts = [k for k, pair in enumerate(map(add, unit, unit[1:]), 1) if pair not in pairs]
+        return [unit[a:b] for a, b in zip([0, *cuts], [*cuts, len(unit)], strict=True)] if cuts else [unit]
 
     def solve_unit(self, word: str) -> tuple[bytes, float, float]:
         """The same for a word after its space mark; a word that starts with a mark brings all of its own."""
@@ -142,7 +156,9 @@ class Pieces:
         parts = self.split(word if word.startswith(SPACE) else SPACE + word)
         if len(parts) == 1:
             return self.solve(parts[0])
-        found = [self.parts[p] for p in parts]
+        # the first part is a word of its own after its space mark, if it has letters
+        first = self.units[parts[0][1:]] if len(parts[0]) > 1 and parts[0][1] != SPACE else self.parts[parts[0]]
+        found = [first, *map(self.parts.__getitem__, parts[1:])]
         return b"".join(x[0] for x in found), sum(x[1] for x in found), min(x[2] for x in found)
 
     def nbest_part(self, part: str, n: int) -> list[tuple[float, tuple[int, ...]]]:
@@ -181,13 +197,14 @@ class Pieces:
         coded, scores, changes = self.search(self.words(text), n)
         return b"".join(coded), scores, changes
 
-    def search(self, words: list[str], n: int) -> tuple[tuple[bytes, ...], list[float], list[dict[tuple[int, int], tuple[int, ...]]]]:
+    def search(self, words: list[str], n: int) -> tuple[list[bytes], list[float], list[dict[tuple[int, int], tuple[int, ...]]]]:
         """``encode`` of a text's ``words``, with the ids of each word."""
         units = self.units
-        coded, scores, leads = zip(*map(units.__getitem__, words), strict=True) if words else ((), (), ())
-        lists = [(float(sum(scores)), {})]
+        found = list(map(units.__getitem__, words))
+        coded = [x[0] for x in found]
+        lists = [(float(sum([x[1] for x in found])), {})]
         if n > 1 and words:
-            leads = np.array(leads)
+            leads = np.array([x[2] for x in found])
             m = min(n - 1, len(leads))
             # every word whose lead ties with the (n-1)-th smallest would do as well; the first are taken
             near = np.argpartition(leads, m - 1)[:m] if m < len(leads) else np.arange(len(leads))

@@ -288,3 +288,16 @@ def test_toxicity_without_labels_or_rows(spark):
     assert len(got) == len(odd_rows()) and all(x.predicted == 0 for x in got)
     assert toxicity.score_documents(df.limit(0), model).count() == 0
     assert df.select(toxicity.held_out(F.lit(None).cast("bigint")).alias("h")).first().h is False
+
+
+def test_a_word_before_a_mark_is_solved_once():
+    lattice = nbest.Pieces(nbest.default_model())
+    word = next(w for w in ("zebra", "quizzing", "harbours") if len(lattice.split(nbest.SPACE + w + ")")) == 2)
+    ids, score, _ = lattice.units[word + ")"]
+    assert word in lattice.units and nbest.SPACE + word not in lattice.parts
+    assert (ids, score) == (lattice.units[word][0] + lattice.parts[")"][0], lattice.units[word][1] + lattice.parts[")"][1])
+    for part in (nbest.SPACE + word, "☃x", ")"):
+        (best, found), *rest = lattice.nbest_part(part, 2)
+        got = lattice.solve(part)
+        assert np.frombuffer(got[0], "<u4").tolist() == list(found) and abs(got[1] - best) < 1e-9
+        assert not rest or abs(got[2] - (best - rest[0][0])) < 1e-6
