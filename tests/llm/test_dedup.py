@@ -209,3 +209,19 @@ def test_winnowing_chooses_in_every_window():
 
 def test_passages_of_an_empty_table(spark):
     assert chaining.repeated_passages(spark.createDataFrame([], DDL)).count() == 0
+
+
+def test_only_ids_of_several_rows_have_versions(spark, monkeypatch):
+    text = prose(120, 21)
+    rows = [row(1, text), row(2, prose(90, 22) + " " + text), row(3, prose(150, 23)), row(4, text), row(4, prose(70, 24) + " " + text),
+            row(None, text + " " + prose(80, 25)), row(None, text + " " + prose(40, 26)), row(5, prose(30, 27)), row(5, None), row(6, None)]
+    df = spark.createDataFrame(rows, DDL)
+    docs = df.select(F.coalesce("doc_id", F.lit(chaining.NO_ID)).alias("id"), "text")
+    key = lambda x: str(x)
+    seen = {(x.id, x.text): x.v for x in chaining.versioned(docs).collect()}
+    assert {i for (i, _), v in seen.items() if v} == {4, 5, chaining.NO_ID} and len(set(seen.values())) == 7
+    assert [x.v for x in chaining.versioned(docs.where("id < 4 and id > 0")).collect()] == [0, 0, 0]
+    some = sorted((tuple(x) for x in chaining.repeated_passages(df).collect()), key=key)
+    monkeypatch.setattr(chaining, "MAX_REPEATED", 0)  # a version for every text
+    assert all(x.v for x in chaining.versioned(docs).collect())
+    assert some and some == sorted((tuple(x) for x in chaining.repeated_passages(df).collect()), key=key)
